@@ -12,8 +12,9 @@ some table, with certainty. Pairs that the tables bring up beside, up to
 ``ACCEPT`` places apart, are accepted too; unrelated texts are further apart.
 
 Equal fingerprints are one node from the start, so exact copies cost no pairs.
-Nodes that share a masked value are joined on it and compared by ``bit_count``
-in generated code; connected components follow by alternating star contraction.
+Nodes that share a masked value meet in a bucket; a small bucket gives its close
+pairs, a large one a spanning forest of them, so thousands of near copies don't
+make millions of pairs. Connected components follow by alternating stars.
 
 Cases: null, empty and wordless texts have no fingerprint and are groups of their
 own. A null doc_id is dropped from groups and always kept. Rows of one doc_id are
@@ -36,6 +37,7 @@ from passagework.session import settle
 RADIUS = 19
 ACCEPT = 24
 SLICE = 1 << 14
+SMALL = 16
 _FIRST = np.uint64(0xA0761D6478BD642F)
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -103,16 +105,72 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(run, f"doc_id {kind}, features int, a bigint, b bigint")
 
 
+def bucket_edges(key: np.ndarray, node: np.ndarray, prints: np.ndarray, accept: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges among rows of equal key (rows sorted by it), at most ``accept`` places apart.
+
+    In a bucket of up to ``SMALL`` rows these are all such pairs. In a larger one
+    they are a spanning forest of them, found breadth first: a node is compared
+    with what isn't reached yet, so a bucket of n copies gives n - 1 edges.
+    """
+    lo, hi = [], []
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[at, len(key)])
+    small = np.repeat(size <= SMALL, size)
+    i = np.flatnonzero(small)
+    end = np.repeat(at + size, size)
+    for shift in range(1, SMALL):
+        i = i[i + shift < end[i]]
+        if not len(i):
+            break
+        near = i[np.bitwise_count(prints[i] ^ prints[i + shift]).sum(1) <= accept]
+        lo.append(node[near])
+        hi.append(node[near + shift])
+    for k in np.flatnonzero(size > SMALL):
+        left = np.arange(at[k], at[k] + size[k])
+        while len(left):
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                x = queue.pop()
+                near = np.bitwise_count(prints[left] ^ prints[x]).sum(1) <= accept
+                found, left = left[near], left[~near]
+                queue.extend(found)
+                lo.append(np.full(len(found), node[x]))
+                hi.append(node[found])
+    none = np.zeros(0, node.dtype)
+    x, y = np.concatenate([none, *lo]), np.concatenate([none, *hi])
+    return np.minimum(x, y), np.maximum(x, y)
+
+
 def close_pairs(nodes: DataFrame, radius: int = RADIUS, accept: int = ACCEPT) -> DataFrame:
-    """(lo, hi) of nodes (node, a, b) within the radii; each pair once."""
+    """(lo, hi): edges among nodes (node, a, b) that connect whatever the tables bring within ``accept``."""
     tables = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p, q in masks(radius)])
     masked = [F.col(c).bitwiseAND(F.col(m)) for c, m in (("a", "m.p"), ("b", "m.q"))]
-    keyed = nodes.select("node", "a", "b", F.posexplode(tables).alias("t", "m")).select(F.xxhash64("t", *masked).alias("key"), "node", "a", "b")
-    x, y = keyed.alias("x"), keyed.alias("y")
-    near = F.bit_count(F.col("x.a").bitwiseXOR(F.col("y.a")))
-    rest = F.bit_count(F.col("x.b").bitwiseXOR(F.col("y.b")))
-    joined = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (near + rest <= accept))
-    return joined.select(F.col("x.node").alias("lo"), F.col("y.node").alias("hi")).distinct()
+    keyed = nodes.select("node", "a", "b", F.posexplode(tables).alias("t", "m")).select(F.hash("t", *masked).alias("key"), "node", "a", "b")
+    kind = nodes.schema["node"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []  # the last key's rows; the next batch may have more
+
+        def edges(key: np.ndarray, node: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+            lo, hi = bucket_edges(key, node, prints, accept)
+            pairs = np.unique(np.stack([lo, hi], 1), axis=0) if len(lo) else np.zeros((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]).cast(target), pa.array(pairs[:, 1]).cast(target)], ["lo", "hi"])
+
+        target = pa.int64()
+        for batch in batches:
+            target = batch.schema.field(1).type
+            now = [np.asarray(batch.column(0)), np.asarray(batch.column(1)).astype(np.int64), np.stack([np.asarray(batch.column(2)), np.asarray(batch.column(3))], 1).view(np.uint64)]
+            if held and len(now[0]) and now[0][-1] == held[0][0][0]:
+                held.append(tuple(now))
+                continue
+            parts = [np.concatenate([h[c] for h in held] + [now[c]]) for c in range(3)]
+            cut = int(np.searchsorted(parts[0], parts[0][-1])) if len(parts[0]) else 0
+            held = [tuple(p[cut:] for p in parts)] if len(parts[0]) else []
+            yield edges(*(p[:cut] for p in parts))
+        if held:
+            yield edges(*(np.concatenate([h[c] for h in held]) for c in range(3)))
+
+    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, f"lo {kind}, hi {kind}").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
