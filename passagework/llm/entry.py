@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from passagework.llm import langid, packing, quality_mil, simhash, suffix_index
+from passagework.llm import bond, langid, licenses, packing, quality_mil, simhash, suffix_index
 from passagework.session import table
 
 
@@ -28,10 +29,18 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.mark(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_index.repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_mil, op2_vector_packing, op4_language_id, op5_simhash_groups, op7_repeated_passages)}
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bond.topk(table(spark, sf_dir, "embeddings")).withColumn("distance", F.round("distance", 6))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_mil, op2_vector_packing, op4_language_id, op5_simhash_groups, op6_license_scan, op7_repeated_passages, op10_exact_topk)}
 
-ORACLES: dict[str, str] = {"op7_repeated_passages": suffix_index.ORACLE}
+ORACLES: dict[str, str] = {"op7_repeated_passages": suffix_index.ORACLE, "op10_exact_topk": bond.ORACLE}
