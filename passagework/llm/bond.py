@@ -10,8 +10,10 @@ survive they are compacted to pairs. Dimensions are taken by falling variance.
 Survivors get their distance in double precision, in the order of dimensions, so
 results equal brute force; ties go to the smaller id.
 
-Every pair of blocks is a task's work, in a grid of tasks; each query's k best of a
-task are merged by one shuffle. Cases: null ids, null vectors and vectors with
+Packed blocks are written once, and a grid of tasks reads them from there: a task meets
+some blocks of queries with some of candidates, and what a block of candidates tells
+of the k-th distance bounds the work on the next. Only each query's k best of a
+task are shuffled. Cases: null ids, null vectors and vectors with
 null or non-finite entries, or of another length than most, are left out. Rows of
 one id count as one vector (the smallest). A vector isn't its own neighbour. With
 fewer than k others all are given.
@@ -19,6 +21,7 @@ fewer than k others all are given.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,27 +127,34 @@ def topk(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", col: str = "em
         matrix = np.stack(pdf["v"].to_numpy()).T
         return pd.DataFrame({"g": [int(pdf["g"].iloc[0])], "ids": [pdf["id"].to_numpy().tolist()], "m": [np.ascontiguousarray(matrix).tobytes()]})
 
-    packed = settle(one.where(F.size("v") == dims).withColumn("g", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("g").applyInPandas(build, f"g bigint, ids array<{kind}>, m binary"))
-    grid = packed.select(F.col("g").alias("qg"), F.col("ids").alias("qi"), F.col("m").alias("qm")).crossJoin(packed.select("g", "ids", "m"))
+    made = one.where(F.size("v") == dims).withColumn("g", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("g").applyInPandas(build, f"g bigint, ids array<{kind}>, m binary")
+    side = min(blocks, max(8, math.isqrt(4 * v.sparkSession.sparkContext.defaultParallelism) + 1))
+    packed = settle(made.repartition(side, "g"))
+    grid = packed.select(F.col("g").alias("qg"), F.col("ids").alias("qi"), F.col("m").alias("qm")).hint("shuffle_replicate_nl").crossJoin(packed.select("g", "ids", "m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bound = None, np.zeros(0)
         for batch in batches:
             for r in range(batch.num_rows):
                 qi, xi = np.asarray(batch.column(1)[r].values), np.asarray(batch.column(4)[r].values)
                 q = np.frombuffer(batch.column(2)[r].as_buffer(), np.float64).reshape(dims, -1)
                 x = np.frombuffer(batch.column(5)[r].as_buffer(), np.float64).reshape(dims, -1)
                 diagonal = batch.column(0)[r].as_py() == batch.column(3)[r].as_py()
+                if now != batch.column(0)[r].as_py():
+                    now, bound = batch.column(0)[r].as_py(), np.full(len(qi), np.inf)
                 for a in range(0, len(qi), QUERIES):
                     part = q[:, a : a + QUERIES]
                     n = part.shape[1]
                     same = np.arange(a, a + n) if diagonal else None
-                    i, j, dist = nearest(part, x, k, np.full(n, np.inf), same)
+                    i, j, dist = nearest(part, x, k, bound[a : a + n], same)
                     keep = best(i, xi[j], dist, k)
+                    row, last = i[keep], np.full(n, -1)
+                    last[row] = np.arange(len(row))  # of each query, its k-th or last
+                    full = np.bincount(row, minlength=n) == k
+                    bound[a : a + n][full] = np.minimum(bound[a : a + n][full], dist[keep][last[full]])
                     yield pa.RecordBatch.from_arrays([pa.array(qi[a + i[keep]]), pa.array(xi[j[keep]]), pa.array(np.sqrt(dist[keep]))], ["id", "neighbor_id", "distance"])
 
-    tasks = min(blocks * blocks, max(64, 4 * v.sparkSession.sparkContext.defaultParallelism))
-    spread = grid.repartition(tasks, "qg", "g")
-    near = spread.mapInArrow(run, schema)
+    near = grid.mapInArrow(run, schema)
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbor_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "neighbor_id", "rank", "distance")
 
