@@ -19,6 +19,7 @@ give repeated clips; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -227,7 +228,7 @@ def clips(rows: DataFrame, key: str = "page_id", media: str = "media") -> DataFr
             for (k, seconds, frames, error), (starts, bad) in zip(held, find_clips([h[2] for h in held]), strict=True):
                 if error:
                     out.append((k, None, None, None, None, None, None, error))
-                for n, (a, b) in enumerate(zip(starts, [*starts[1:], len(frames)], strict=True)):
+                for n, (a, b) in enumerate(itertools.pairwise([*starts, len(frames)])):
                     out.append((k, n, a, b, a * seconds, b * seconds, bad[n], None))
             columns = list(zip(*out, strict=True)) if out else [()] * 8
             types = [kind, pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.string()]
