@@ -38,7 +38,7 @@ def decode(files: DataFrame, parser: Callable[[str, bytes], tuple[int, list[dict
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = St.StructType.fromDDL(BLOCKS).names
+        columns = [part.split()[0] for part in BLOCKS.split(", ")]
         for batch in batches:
             rows = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
