@@ -44,17 +44,21 @@ def ask(blocks: DataFrame, question: str, strategies: list[str], k: int) -> Data
     return S.side_by_side(S.topk(chunks, asked, k), chunks, k).orderBy("strategy", "rank")
 
 
-def main(argv: list[str] | None = None) -> int:
-    ap = argparse.ArgumentParser(prog="passagework", description=__doc__)
+def options() -> argparse.ArgumentParser:
+    ap = argparse.ArgumentParser("passagework", description=__doc__)
     ap.add_argument("command", choices=["cost", "query"])
     ap.add_argument("folder")
     ap.add_argument("question", nargs="?", default="")
     ap.add_argument("--suffix", default=".txt")
-    ap.add_argument("--limit", type=int)
-    ap.add_argument("--strategies", nargs="+", default=list(C.STRATEGIES), choices=list(C.STRATEGIES))
+    ap.add_argument("--limit", help="first files only", type=int)
+    ap.add_argument("--strategies", choices=list(C.STRATEGIES), default=list(C.STRATEGIES), nargs="*")
     ap.add_argument("--model", default="text-embedding-3-small")
-    ap.add_argument("-k", type=int, default=3)
-    args = ap.parse_args(argv)
+    ap.add_argument("-k", default=3, type=int)
+    return ap
+
+
+def run(arguments: list[str] | None = None) -> int:
+    args = options().parse_args(arguments)
     spark = get_session("passagework")
     blocks = read_folder(spark, args.folder, args.suffix, args.limit)
     if args.command == "cost":
@@ -65,4 +69,4 @@ def main(argv: list[str] | None = None) -> int:
 
 
 if __name__ == "__main__":
-    raise SystemExit(main())
+    raise SystemExit(run())

@@ -6,9 +6,9 @@ import os
 from pathlib import Path
 
 
-def load_env(start: Path | None = None) -> Path | None:
-    """Read ``KEY=value`` lines of the nearest ``.env`` from ``start`` upwards; the file, or None."""
-    here = (start or Path.cwd()).resolve()
+def load_env(begin: str | Path = ".") -> Path | None:
+    """Read ``KEY=value`` lines of the nearest ``.env`` from ``begin`` upwards; the file, or None."""
+    here = Path(begin).resolve()
     for folder in (here, *here.parents):
         if (found := folder / ".env").is_file():
             for line in found.read_text().splitlines():

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 #: A token is a word with the white space before it, so joined tokens are the text again.
 TOKEN = r"[ \t\n\f\r]*[^ \t\n\f\r]+"
 _CURLY = "\u2018\u2019\u201c\u201d\u2013\u2014\u00a0"
-_LINKS = "|".join((r"\bavailable free of charge\b", "@", "https?://", r"doi\.org"))
-_BOILERPLATE = "|".join(("list of (?:tables|figures)", "table of contents", "keywords$", "abstract$", "acknowledgement", r"doi\.org", r"nist\.sp\.", "this publication is available"))
+LINKS = "|".join((r"\bavailable free of charge\b", "@", "https?://", r"doi\.org"))
+BOILERPLATE = "|".join(("list of (?:tables|figures)", "table of contents", "keywords$", "abstract$", "acknowledgement", r"doi\.org", r"nist\.sp\.", "this publication is available"))
 _PLAIN = "''\"\"-- "
 
 
@@ -71,7 +71,7 @@ def letters(text: Column) -> Column:
 def looks_like_heading(text: Column, most: int = 120) -> Column:
     """Short, mostly letters, and neither a link nor an address."""
     size, alnum = F.length(text), F.length(F.regexp_replace(text, "[^A-Za-z0-9]", ""))
-    banned = F.lower(text).rlike(_LINKS)
+    banned = F.lower(text).rlike(LINKS)
     return (size <= most) & ~banned & (alnum >= 2) & (letters(text) >= 3) & (letters(text) / size >= 0.4) & (alnum / size >= 0.5)
 
 
@@ -79,7 +79,7 @@ def is_prose(text: Column) -> Column:
     """Neither boilerplate nor dot leaders, formulas or numbers, and at least 60 words."""
     ws = F.filter(F.split(strip(text), r"(?U)\s+"), lambda w: w != "")
     odd = F.size(F.filter(ws, lambda w: (F.length(w) > 18) | (w.rlike("[0-9]") & (F.length(w) > 8))))
-    banned = F.lower(text).rlike(_BOILERPLATE)
+    banned = F.lower(text).rlike(BOILERPLATE)
     size = F.greatest(F.length(text), F.lit(1))
     dots = F.length(text) - F.length(F.replace(text, F.lit("."), F.lit("")))
     return ~banned & (dots / size <= 0.08) & (letters(text) / size >= 0.65) & (F.size(ws) >= 60) & (odd / F.greatest(F.size(ws), F.lit(1)) <= 0.06)

@@ -28,11 +28,11 @@ def fixed(blocks: DataFrame, chunk_tokens: int = CHUNK, overlap_ratio: float = O
     All in the JVM: the tokens of a document are an array, and its windows are slices.
     """
     if chunk_tokens <= 0:
-        raise ValueError("chunk_tokens must be positive")
+        raise ValueError(f"chunk_tokens is {chunk_tokens}; it must be 1 at least")
     if not 0 <= overlap_ratio < 1:
-        raise ValueError("overlap_ratio must be at least 0 and under 1")
+        raise ValueError(f"overlap_ratio is {overlap_ratio}; it must be in [0, 1)")
     stride = chunk_tokens - int(chunk_tokens * overlap_ratio)
-    strategy = name or ("fixed" if overlap_ratio else "fixed-no-overlap")
+    strategy = name or ("fixed-no-overlap" if overlap_ratio == 0 else "fixed")
     toks = document_text(blocks).select(F.col("doc_id").cast("string").alias("doc_id"), T.tokens(F.col("text")).alias("t"))
     last = F.greatest(F.lit(0), F.ceil((F.size("t") - chunk_tokens) / stride)).cast("int")
     windows = toks.where(F.size("t") > 0).select("doc_id", "t", F.explode(F.sequence(F.lit(0), last)).alias("i"))
@@ -47,10 +47,11 @@ def fixed(blocks: DataFrame, chunk_tokens: int = CHUNK, overlap_ratio: float = O
 
 
 Item = tuple[int, dict]
+Piece = tuple[int, str, int | None, int]  # index, text, page, tokens
 
 
-def pieces(items: list[Item], limit: int) -> Iterator[tuple[int, str, int | None, int]]:
-    """(index, text, page, tokens) of blocks, those over the limit cut into pieces."""
+def pieces(items: list[Item], limit: int) -> Iterator[Piece]:
+    """Blocks by piece, those over the limit cut into pieces."""
     for index, block in items:
         toks = _TOKEN.findall(block["text"])
         if len(toks) <= limit:
@@ -62,7 +63,7 @@ def pieces(items: list[Item], limit: int) -> Iterator[tuple[int, str, int | None
                 yield index, body, block["page"], len(cut)
 
 
-def packed(items: list[Item], limit: int) -> list[list[tuple[int, str, int | None, int]]]:
+def packed(items: list[Item], limit: int) -> list[list[Piece]]:
     """Runs of consecutive pieces whose tokens stay within the limit."""
     runs: list[list] = []
     room = -1
@@ -140,7 +141,7 @@ def contextual_heading(blocks: DataFrame, chunk_tokens: int = CHUNK) -> DataFram
         for run in packed([(i, b) for i, b in enumerate(held) if b["type"] != "footer"], chunk_tokens):
             body = "\n\n".join(p[1] for p in run).strip()
             path = path_at(run[0][0])
-            out.append((body, f"{' > '.join(path)}\n\n{body}" if path else body, body, path, [p[2] for p in run]) if body else None)
+            out.append((body, "\n\n".join([" > ".join(path), body] if path else [body]), body, path, [p[2] for p in run]) if body else None)
         return out
 
     return _structural(blocks, "contextual-heading", make)

@@ -17,9 +17,9 @@ from passagework.functions import text as T
 from passagework.operators.enrich import BudgetError
 
 
-def hash_params(**params: Any) -> str:
+def hash_params(**values: object) -> str:
     """The same for the same parameters in any order."""
-    return hashlib.sha256(json.dumps(params, sort_keys=True, default=str).encode()).hexdigest()[:32]
+    return hashlib.sha256(json.dumps(values, default=str, sort_keys=True).encode()).hexdigest()[:32]
 
 
 def with_hash(rows: DataFrame, column: str) -> DataFrame:
@@ -93,9 +93,8 @@ class SpendGuard:
         if (spent := self.history()["total_usd"]) + usd > self.total:
             raise BudgetError(f"${spent:.4f} spent and ${usd:.4f} to come are over the total ceiling of ${self.total:.2f}")
 
-    def record(self, usd: float, tokens: int) -> None:
-        self.run_usd += usd
-        self.run_tokens += tokens
+    def record(self, usd: float, n_tokens: int) -> None:
+        self.run_tokens, self.run_usd = self.run_tokens + n_tokens, self.run_usd + usd
         if self.run_usd > self.per_run:
             raise BudgetError(f"Stopped mid-run at ${self.run_usd:.4f}")
 
@@ -103,7 +102,7 @@ class SpendGuard:
         held = self.history()
         held = {
             "total_usd": round(held["total_usd"] + self.run_usd, 10), "total_tokens": held["total_tokens"] + self.run_tokens, "runs": held["runs"] + 1,
-            "last_run_usd": round(self.run_usd, 10), "updated": datetime.now(UTC).isoformat(),
+            "updated": datetime.now(UTC).isoformat(), "last_run_usd": round(self.run_usd, 10),
         }
         self.ledger.parent.mkdir(parents=True, exist_ok=True)
         fresh = self.ledger.with_suffix(".tmp")

@@ -269,7 +269,7 @@ levels AS (
   WHERE level <= 4),
 typed AS (
   SELECT s.doc_id, (row_number() OVER (PARTITION BY s.doc_id ORDER BY page, seq) - 1)::INT AS idx, page, text, level,
-    level IS NOT NULL AND length(text) <= 120 AND NOT regexp_matches(lower(text), 'https?://|doi\.org|@|\bavailable free of charge\b')
+    level IS NOT NULL AND length(text) <= 120 AND NOT regexp_matches(lower(text), '{T.LINKS}')
       AND length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) >= 2 AND length(regexp_replace(text, '\P{{L}}', '', 'g')) >= 3
       AND length(regexp_replace(text, '\P{{L}}', '', 'g')) / length(text) >= 0.4 AND length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) / length(text) >= 0.5 AS heading
   FROM spans s LEFT JOIN levels USING (doc_id, size)),

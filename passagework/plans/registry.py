@@ -486,10 +486,10 @@ def q04_curated_set(spark: SparkSession, d: str) -> DataFrame:
     return Q.curated_set(asked, passages).select("question", "base_question", "doc_id", "gold")
 
 
-_PROSE = r"""
-NOT regexp_matches(lower(text), 'this publication is available|nist\.sp\.|doi\.org|acknowledgement|abstract$|keywords$|table of contents|list of (figures|tables)')
-AND (length(text) - length(replace(text, '.', ''))) / length(text) <= 0.08 AND length(regexp_replace(text, '\P{L}', '', 'g')) / length(text) >= 0.65
-AND len(ws) >= 60 AND len(list_filter(ws, lambda w: length(w) > 18 OR regexp_matches(w, '[0-9]') AND length(w) > 8)) / len(ws) <= 0.06""".replace("list of (figures|tables)", "list of (?:tables|figures)")
+_PROSE = rf"""
+NOT regexp_matches(lower(text), '{T.BOILERPLATE}')
+AND (length(text) - length(replace(text, '.', ''))) / length(text) <= 0.08 AND length(regexp_replace(text, '\P{{L}}', '', 'g')) / length(text) >= 0.65
+AND len(ws) >= 60 AND len(list_filter(ws, lambda w: length(w) > 18 OR regexp_matches(w, '[0-9]') AND length(w) > 8)) / len(ws) <= 0.06"""
 
 
 @query(rf"""WITH {D.FLAT}, c AS (SELECT *, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM flat WHERE length(text) BETWEEN 450 AND 1200)

@@ -90,9 +90,9 @@ def literal_list(cells: pd.Series) -> pd.Series:
         if cell is None or not cell.strip():
             return []
         try:
-            value = ast.literal_eval(cell)
-        except (ValueError, SyntaxError):
-            return [cell]
-        return [str(v) for v in value] if isinstance(value, list | tuple) else [str(value)]
+            found = ast.literal_eval(cell)
+        except (SyntaxError, ValueError):
+            found = cell
+        return list(map(str, found)) if isinstance(found, list | tuple) else [str(found)]
 
     return cells.map(one)
