@@ -144,33 +144,36 @@ def bucket_edges(key: np.ndarray, node: np.ndarray, prints: np.ndarray, accept:
 def close_pairs(nodes: DataFrame, radius: int = RADIUS, accept: int = ACCEPT) -> DataFrame:
     """(lo, hi): edges among nodes (node, a, b) that connect whatever the tables bring within ``accept``."""
     tables = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p, q in masks(radius)])
-    masked = [F.col(c).bitwiseAND(F.col(m)) for c, m in (("a", "m.p"), ("b", "m.q"))]
-    keyed = nodes.select("node", "a", "b", F.posexplode(tables).alias("t", "m")).select(F.hash("t", *masked).alias("key"), "node", "a", "b")
+    mask = F.element_at(tables, F.col("t") + 1)
+    masked = [F.col(c).bitwiseAND(mask[m]) for c, m in (("a", "p"), ("b", "q"))]
+    # a row carries its table's number alone; the masked bits are made anew on either side of the shuffle
+    rows = nodes.select("node", "a", "b", F.explode(F.sequence(F.lit(0), F.size(tables) - 1)).alias("t"))
+    met = rows.repartition("t", *masked).select("t", masked[0].alias("x"), masked[1].alias("y"), "node", "a", "b").sortWithinPartitions("t", "x", "y", "node")
     kind = nodes.schema["node"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []  # the last key's rows; the next batch may have more
+        held = None  # the last bucket's rows; the next batch may have more
 
-        def edges(key: np.ndarray, node: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-            lo, hi = bucket_edges(key, node, prints, accept)
+        def edges(bucket: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+            lo, hi = bucket_edges(bucket, part[:, 3], part[:, 4:].view(np.uint64), accept)
             pairs = np.unique(np.stack([lo, hi], 1), axis=0) if len(lo) else np.zeros((0, 2), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]).cast(target), pa.array(pairs[:, 1]).cast(target)], ["lo", "hi"])
 
         target = pa.int64()
         for batch in batches:
-            target = batch.schema.field(1).type
-            now = [np.asarray(batch.column(0)), np.asarray(batch.column(1)).astype(np.int64), np.stack([np.asarray(batch.column(2)), np.asarray(batch.column(3))], 1).view(np.uint64)]
-            if held and len(now[0]) and now[0][-1] == held[0][0][0]:
-                held.append(tuple(now))
+            target = batch.schema.field(3).type
+            part = np.stack([np.asarray(c).astype(np.int64) for c in batch.columns], 1)
+            part = part if held is None else np.concatenate([held, part])
+            if not len(part):
                 continue
-            parts = [np.concatenate([h[c] for h in held] + [now[c]]) for c in range(3)]
-            cut = int(np.searchsorted(parts[0], parts[0][-1])) if len(parts[0]) else 0
-            held = [tuple(p[cut:] for p in parts)] if len(parts[0]) else []
-            yield edges(*(p[:cut] for p in parts))
-        if held:
-            yield edges(*(np.concatenate([h[c] for h in held]) for c in range(3)))
-
-    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, f"lo {kind}, hi {kind}").distinct()
+            bucket = np.cumsum(np.r_[True, (part[1:, :3] != part[:-1, :3]).any(1)])
+            cut = int(np.searchsorted(bucket, bucket[-1]))
+            held = part[cut:]
+            yield edges(bucket[:cut], part[:cut])
+        if held is not None:
+            yield edges(np.zeros(len(held), np.int64), held)
+
+    return met.mapInArrow(run, f"lo {kind}, hi {kind}").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
