@@ -33,7 +33,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, piece, pack_id, position, tokens, segments, loss_tokens) of every document."""
+    """(doc_id, piece, pack_id, position, tokens, segments, loss_tokens, start_token, end_token) of every document."""
     return packing.pack(packing.documents_demand(docs)).withColumnRenamed("example_id", "doc_id")
 
 

@@ -90,6 +90,32 @@ def test_packing_rows(spark):
     assert out.exceptAll(turns.groupBy("conv_id").agg(F.count("*").alias("n"))).count() == 0
 
 
+def test_long_examples_are_cut_along_their_turns(spark):
+    limits = list(packing.LIMITS.values())
+    assert packing.cut([(4000, 0), (4000, 4000)], limits) == [(4096, 2, 96), (3072, 1, 3072), (832, 1, 832)]
+    assert packing.cut([(1, 0)] * 40, limits) == [(32, 32, 0), (8, 8, 0)]
+    rng = random.Random(6)
+    turns = [(c, t, rng.choice(["user", "assistant"]), "word " * rng.choice([0, 3, 900, 3500, 9000])) for c in range(12) for t in range(rng.choice([1, 3, 40]))]
+    rng.shuffle(turns)
+    df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    enc = packing.encoder()
+    flags = {c: [] for c in range(12)}  # a (turn, bears loss) for each token
+    for c, t, role, text in sorted(turns, key=lambda x: x[:2]):
+        flags[c] += [(t, role == "assistant")] * len(enc.encode_ordinary(text))
+    got = packing.pack(packing.conversations_demand(df)).orderBy("example_id", "piece").collect()
+    ends, used = dict.fromkeys(flags, 0), {}
+    for r in got:
+        own = flags[r.example_id][r.start_token : r.end_token]
+        assert r.start_token == ends[r.example_id] and len(own) == r.tokens and sum(f for _, f in own) == r.loss_tokens
+        assert max(1, len({t for t, _ in own})) <= r.segments
+        ends[r.example_id] = r.end_token
+        used.setdefault(r.pack_id, []).append((r.tokens, r.segments, r.loss_tokens))
+    assert all(ends[c] == len(flags[c]) for c in flags) and any(r.piece > 1 for r in got)
+    assert all(sum(x) <= m for p in used.values() for x, m in zip(zip(*p, strict=True), limits, strict=True))
+    long = packing.pack(packing.documents_demand(docs_of(spark, "word " * 9000))).collect()
+    assert len(long) > 2 and all(r.segments == 1 for r in long)
+
+
 # ---- 3 byte-level BPE
 
 
