@@ -1,8 +1,9 @@
 """Near-duplicate groups by SimHash and covering locality-sensitive hashing.
 
 A text's fingerprint has 128 bits, each the majority over the hashes of its
-distinct words (ASCII lower case; words under four bytes count only where there
-are no longer ones). Two texts are near duplicates if the fingerprints differ in
+distinct features (ASCII lower case): every word of four bytes or more, and every
+shorter one together with the word before it, so each word has a vote and the few
+frequent short ones don't make texts alike. Two texts are near duplicates if the fingerprints differ in
 at most ``RADIUS`` places. Candidates come from structured bit masks: the bits
 are cut to quarters; in one of them a pair within the radius differs in at most
 r = (RADIUS - 3) / 4 places, and there a map of bit positions to the non-zero vectors over
@@ -38,8 +39,10 @@ RADIUS = 19
 ACCEPT = 24
 SLICE = 1 << 14
 SMALL = 16
+SHORT = 4  # bytes from which a word is a feature by itself
 _FIRST = np.uint64(0xA0761D6478BD642F)
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
+_PAIR = np.uint64(0xD1B54A32D192ED03)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -50,11 +53,11 @@ def fingerprints(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     raw = _LOWER[raw]
     starts, ends, first = words(raw, offsets)
     owner = np.repeat(np.arange(n), np.diff(first))
-    long = ends - starts >= 4
-    has = np.zeros(n, bool)
-    has[owner[long]] = True
-    use = long | ~has[owner]
-    owner, codes = owner[use], span_hashes(raw, starts[use], ends[use])
+    codes = span_hashes(raw, starts, ends)
+    short = np.flatnonzero(ends - starts < SHORT)
+    inside = short > first[owner[short]]  # a text's first word has none before it
+    before = np.where(inside, codes[short - 1], np.uint64(0))
+    codes[short] = mix64(codes[short] + before * _PAIR + _PAIR)
     keys = np.sort(owner.astype(np.uint64) << np.uint64(44) | codes >> np.uint64(20))
     keys = keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
     owner, codes = (keys >> np.uint64(44)).astype(np.int64), keys & np.uint64((1 << 44) - 1)

@@ -217,6 +217,16 @@ def test_simhash_pairs_equal_brute_force(spark):
     assert all(got[d] == got[find(d)] for d in prints)  # every pair within the radius is together
 
 
+def test_texts_that_differ_in_short_words_stay_apart(spark):
+    texts = ["report " + " ".join(map(str, range(a, a + 80))) for a in (101, 301, 901)]
+    texts += ["final score of the league: " + " ".join(f"{x}:{x * y % 7}" for x in range(1, 60)) for y in (2, 3)]
+    texts += [texts[0], texts[0].replace(" 150 ", " 15 ").upper()]
+    df = docs_of(spark, *texts)
+    got = {r.doc_id: r.group_id for r in simhash.mark(df).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 0, 6: 0}
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == [0, 1, 2, 3, 4]
+
+
 # ---- 6 licenses
 
 
