@@ -81,16 +81,21 @@ def segments(codes: np.ndarray, first: np.ndarray, least: int = LEAST) -> tuple[
 
 
 class IndexFamily:
-    """Sorted arrays of suffixes, each level at least twice as large as the next."""
+    """Sorted arrays of suffixes, each level at least twice as large as the next.
+
+    ``owners`` has, for each window of a level, where it first stood.
+    """
 
     def __init__(self, least: int = LEAST) -> None:
         self.least = least
         self.levels: list[np.ndarray] = []
+        self.owners: list[np.ndarray] = []
 
     def add(self, rows: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """Take windows (n x least of uint32, in order) as a batch; which of them occurred before.
 
-        ``owner`` says where they stand; equal windows of one owner are equal copies of one place.
+        ``owner`` says where they stand; equal windows of one owner are equal copies of one place,
+        in this batch or an earlier one.
         """
         keys = np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * self.least}").ravel()
         order = np.argsort(keys, kind="stable")
@@ -101,17 +106,23 @@ class IndexFamily:
         group = np.cumsum(fresh) - 1
         unique = ranked[heads]
         known = np.zeros(len(unique), bool)
-        for level in self.levels:
-            at = np.searchsorted(level, unique)
-            known |= level[np.minimum(at, len(level) - 1)] == unique
+        origin = owner[order[heads]]
+        for level, theirs in zip(self.levels, self.owners, strict=True):
+            at = np.minimum(np.searchsorted(level, unique), len(level) - 1)
+            here = level[at] == unique
+            known |= here
+            origin = np.where(here, theirs[at], origin)
         seen = np.empty(len(keys), bool)
-        seen[order] = known[group] | (owner[order] != owner[order[heads]][group])
+        seen[order] = owner[order] != origin[group]
         new = unique[~known]
         if len(new):
             self.levels.append(new)
+            self.owners.append(origin[~known])
             while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
-                small = self.levels.pop()
-                self.levels[-1] = np.sort(np.concatenate([self.levels[-1], small]), kind="stable")  # merges the two runs
+                small, theirs = self.levels.pop(), self.owners.pop()
+                both = np.concatenate([self.levels[-1], small])
+                rank = np.argsort(both, kind="stable")  # merges the two runs
+                self.levels[-1], self.owners[-1] = both[rank], np.concatenate([self.owners[-1], theirs])[rank]
         return seen
 
 
@@ -163,6 +174,7 @@ def _scan(rows: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = IndexFamily(least)
+        last, number = None, 0  # documents are numbered through all batches
         for batch in batches:
             data = batch.column(3).cast(pa.large_binary())
             ends = np.frombuffer(data.buffers()[1], np.int64, len(data) + 1, data.offset * 8) // 4
@@ -172,7 +184,10 @@ def _scan(rows: DataFrame, least: int) -> DataFrame:
             count = np.diff(ends) - least + 1
             seg = np.repeat(np.arange(len(count)), count)
             nth = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
-            code = np.asarray(ids.dictionary_encode().indices).astype(np.int64)
+            code = np.asarray(ids.dictionary_encode().indices).astype(np.int64)  # they come in order
+            if len(ids):
+                code += number + (ids[0] != last)
+                last, number = ids[-1], int(code[-1])
             seen = np.zeros(len(seg), bool)
             view = np.lib.stride_tricks.sliding_window_view(flat, least) if len(flat) >= least else None
             for i in range(0, len(seg), SLICE):

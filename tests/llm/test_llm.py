@@ -289,6 +289,29 @@ def test_repeats_against_loop(spark):
     assert suffix_index.repeats(df.limit(0)).count() == 0
 
 
+def test_twin_rows_are_no_repeats_wherever_a_batch_ends(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcdefghijklmnop", k=40)) for _ in range(6)]
+    texts[4] = texts[1][:40] + texts[4]  # 20 words
+    want = naive_repeats(list(enumerate(texts)), 10)
+    df = docs_of(spark, *texts)
+    df = df.union(df).repartition(2)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for windows, rows in ((suffix_index.SLICE, 10_000), (3, 10_000), (suffix_index.SLICE, 1), (1, 1)):
+        monkeypatch.setattr(suffix_index, "SLICE", windows)
+        spark.conf.set(size, rows)
+        try:
+            got = [(r.doc_id, r.start_word, r.end_word) for r in suffix_index.repeats(df, 10).collect()]
+            kept = {(r.doc_id, r.text) for r in suffix_index.cut_repeats(df, 10).collect()}
+        finally:
+            spark.conf.unset(size)
+        assert sorted(got) == sorted(want) and len(want) == 1, (windows, rows)
+        assert {x for x in kept if x[0] != 4} == {(i, t) for i, t in enumerate(texts) if i != 4}
+    family = suffix_index.IndexFamily(2)
+    window = np.array([[1, 2]], np.uint32)
+    assert [family.add(window, np.array([i])).tolist() for i in (5, 5, 6, 5)] == [[False], [False], [True], [False]]
+
+
 def test_levels_grow_geometrically():
     family = suffix_index.IndexFamily(2)
     rng = np.random.default_rng(1)
