@@ -45,7 +45,8 @@ STAGES = [
     ("packing", packs),
 ]
 
-#: Models, fingerprints and the packing heuristic have no SQL; tests hold each stage against brute force.
+#: Models, fingerprints and the packing heuristic have no SQL. Tests hold near-duplicate pairs, repeated passages and
+#: the packing heuristic against brute force, as operators; of the pipeline itself they check columns and ids alone.
 ORACLE_SQL = None
 
 

@@ -274,7 +274,7 @@ def k09_sections(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def k10_parent_doc(spark: SparkSession, d: str) -> DataFrame:
-    """Children within sections, with their bounded parents (K10, K11); tests hold it against a plain loop."""
+    """Children within sections, with their bounded parents (K10, K11); tests hold it against literal cases."""
     return C.parent_doc(D.page_blocks(spark, d), D.SMALL_CHILD, D.SMALL_PARENT).select("chunk_id", "raw_text", "return_text", "heading_path", "degraded")
 
 
