@@ -3,6 +3,7 @@
 import base64
 import itertools
 import random
+import re
 import zipfile
 
 import numpy as np
@@ -308,17 +309,66 @@ def test_twin_rows_are_no_repeats_wherever_a_batch_ends(spark, monkeypatch):
         assert sorted(got) == sorted(want) and len(want) == 1, (windows, rows)
         assert {x for x in kept if x[0] != 4} == {(i, t) for i, t in enumerate(texts) if i != 4}
     family = suffix_index.IndexFamily(2)
-    window = np.array([[1, 2]], np.uint32)
-    assert [family.add(window, np.array([i])).tolist() for i in (5, 5, 6, 5)] == [[False], [False], [True], [False]]
-
-
-def test_levels_grow_geometrically():
-    family = suffix_index.IndexFamily(2)
-    rng = np.random.default_rng(1)
-    for _ in range(40):
-        family.add(rng.integers(0, 1000, (50, 2)).astype(np.uint32), np.arange(50))
-        sizes = [len(x) for x in family.levels]
-        assert all(a >= 2 * b for a, b in itertools.pairwise(sizes))
+    window = np.array([1, 2], np.uint32)
+    assert [family.add(window, np.array([0]), np.array([i])).tolist() for i in (5, 5, 6, 5)] == [[False], [False], [True], [False]]
+
+
+def test_levels_are_suffix_arrays_and_grow_geometrically():
+    family, seen, rng = suffix_index.IndexFamily(5), {}, np.random.default_rng(1)
+    for n in range(40):
+        sizes = rng.integers(5, 40, 6)
+        starts = np.cumsum(sizes) - sizes
+        text = rng.integers(0, 4, sizes.sum()).astype(np.uint32)
+        text[starts[0] : starts[0] + 5] = text[starts[1] : starts[1] + 5]
+        owners = np.arange(6) + 6 * n << 32
+        want = []
+        for a, size, owner in zip(starts, sizes, owners, strict=True):
+            for i in range(size - 4):
+                want.append(seen.setdefault(text[a + i : a + i + 5].tobytes(), owner + i) != owner + i)
+        assert family.add(text, starts, owners).tolist() == want
+        assert all(len(a) >= 2 * len(b) for a, b in itertools.pairwise(family.levels))
+    assert sum(map(len, family.levels)) == len(seen)
+    for level in family.levels:
+        spelt = [level.text[i : i + 5].tolist() for i in level.order]
+        assert level.order.dtype == np.int32 and all(a < b for a, b in itertools.pairwise(spelt))
+        for x, owner in zip(spelt, level.owner(level.order), strict=True):
+            assert seen[np.array(x, np.uint32).tobytes()] == owner
+    big = suffix_index.IndexFamily(50)
+    big.add(np.arange(20_000, dtype=np.uint32), np.array([0]), np.array([0]))
+    (level,) = big.levels
+    assert level.text.nbytes + level.order.nbytes + level.starts.nbytes + level.owners.nbytes <= 12 * 20_000
+
+
+def test_keys_spread_over_shards_give_the_same(spark):
+    rng = random.Random(11)
+    hot = " ".join(rng.choices("abcdefghijklmnop", k=25))
+    texts = [" ".join([*rng.choices("qrstuvwxyz", k=rng.randint(0, 9)), hot, *rng.choices("qrstuvwxyz", k=rng.randint(0, 9))]) for _ in range(40)]
+    texts += [" ".join(rng.choices("abcdefghijklmnop", k=30)) for _ in range(5)] + [hot + " " + hot]
+    df = docs_of(spark, *texts)
+    df = df.union(df.where("doc_id < 3")).repartition(3)
+    got = [(r.doc_id, r.start_word, r.end_word) for r in suffix_index.repeats(df, 10, hot=5, sample=1).collect()]
+    assert suffix_index._hot(df.select("doc_id", "text"), 10, 5, 1).count() > 0
+    assert sorted(got) == sorted(naive_repeats(list(enumerate(texts)), 10)) and got
+
+
+def test_cut_texts_equal_a_plain_cut(spark):
+    rng = random.Random(12)
+    passages = [" ".join(rng.choices("abcdefghij", k=12)) for _ in range(3)]
+    texts = ["  ".join(rng.choice([rng.choice(passages), "é" + " ".join(rng.choices("klmnop", k=4))]) for _ in range(7)) + "\n" for _ in range(25)]
+    texts += [passages[0], "", "  "]
+    want = {}
+    spans = naive_repeats(list(enumerate(texts)), 10)
+    for i, text in enumerate(texts):
+        left, at, pieces = 0, [m.span() for m in re.finditer(r"[^ \t\n\f\r]+", text)], []
+        own = sorted((a, b) for d, a, b in spans if d == i)
+        for a, b in own:
+            pieces.append(text[left : at[a][0]])
+            left = at[b - 1][1]
+        done = "".join(pieces) + text[left:]
+        if not own or done.strip():
+            want[i] = done
+    got = {r.doc_id: (r.text, r.n_chars) for r in suffix_index.cut_repeats(docs_of(spark, *texts), 10).collect()}
+    assert got == {i: (t, len(t)) for i, t in want.items()} and len(got) < len(texts)
 
 
 # ---- 8 ZIP and WARC
