@@ -13,10 +13,11 @@ results equal brute force; ties go to the smaller id.
 Packed blocks are written once, and a grid of tasks reads them from there: a task meets
 some blocks of queries with some of candidates, and what a block of candidates tells
 of the k-th distance bounds the work on the next. Only each query's k best of a
-task are shuffled. Cases: null ids, null vectors and vectors with
-null or non-finite entries, or of another length than most, are left out. Rows of
-one id count as one vector (the smallest). A vector isn't its own neighbour. With
-fewer than k others all are given.
+task are shuffled. Cases: null ids, null vectors and vectors that are empty or have
+null or non-finite entries are left out. Vectors of several lengths are answered each
+among those of its own length. Rows of one id count as one vector (the smallest). A
+vector isn't its own neighbour. With fewer than k others all are given. Other columns
+aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -109,52 +110,53 @@ def best(i: np.ndarray, ids: np.ndarray, dist: np.ndarray, k: int) -> np.ndarray
     return order[np.arange(len(order)) - head < k]
 
 
-def topk(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", col: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """(id, neighbor_id, rank, distance): the k nearest others of every vector, Euclidean; rank from 1."""
+def topk(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", col: str = "embedding", block: int = BLOCK, asked: str = "true") -> DataFrame:
+    """(id, neighbor_id, rank, distance): the k nearest others of the vectors asked about, Euclidean; rank from 1.
+
+    ``asked`` is a condition in SQL on ``id`` that says which vectors are queries; all rows are candidates.
+    """
     kind = vectors.schema[id_col].dataType.simpleString()
-    v = vectors.select(F.col(id_col).alias("id"), F.col(col).cast("array<double>").alias("v"))
+    v = vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{col}`").cast("array<double>").alias("v"))
     good = v.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))))
-    one = settle(good.groupBy("id").agg(F.min("v").alias("v")))
-    sizes = one.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").take(1)
-    schema = f"id {kind}, neighbor_id {kind}, distance double"
-    if not sizes:
-        return v.sparkSession.createDataFrame([], f"id {kind}, neighbor_id {kind}, rank int, distance double")
-    dims, count = sizes[0]["n"], sizes[0]["count"]
-    blocks = max(1, -(-count // block))
+    one = settle(good.groupBy("id").agg(F.min("v").alias("v")).withColumn("dims", F.size("v")))
+    sizes = settle(one.groupBy("dims").agg(F.count("*").alias("all"), F.count_if(F.expr(asked)).alias("some")))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         matrix = np.stack(pdf["v"].to_numpy()).T
-        return pd.DataFrame({"g": [int(pdf["g"].iloc[0])], "ids": [pdf["id"].to_numpy().tolist()], "m": [np.ascontiguousarray(matrix).tobytes()]})
+        return pd.DataFrame({"dims": [matrix.shape[0]], "g": [int(pdf["g"].iloc[0])], "ids": [pdf["id"].to_numpy().tolist()], "m": [np.ascontiguousarray(matrix).tobytes()]})
+
+    def pack(rows: DataFrame, count: str, size: int) -> DataFrame:
+        """Blocks of about ``size`` vectors of one length, in about as many partitions as a side of the grid has."""
+        keyed = rows.join(sizes, "dims").withColumn("g", F.pmod(F.xxhash64("id"), F.ceil(F.col(count) / size)))
+        made = keyed.select("dims", "g", "id", "v").groupBy("dims", "g").applyInPandas(build, f"dims int, g bigint, ids array<{kind}>, m binary")
+        return settle(made.repartition(side, "dims", "g"))
 
-    made = one.where(F.size("v") == dims).withColumn("g", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("g").applyInPandas(build, f"g bigint, ids array<{kind}>, m binary")
-    side = min(blocks, max(8, math.isqrt(4 * v.sparkSession.sparkContext.defaultParallelism) + 1))
-    packed = settle(made.repartition(side, "g"))
-    grid = packed.select(F.col("g").alias("qg"), F.col("ids").alias("qi"), F.col("m").alias("qm")).hint("shuffle_replicate_nl").crossJoin(packed.select("g", "ids", "m"))
+    side = max(8, math.isqrt(4 * v.sparkSession.sparkContext.defaultParallelism) + 1)
+    queries = pack(one.where(asked), "some", min(block, QUERIES)).toDF("qd", "qg", "qi", "qm")
+    grid = queries.hint("shuffle_replicate_nl").join(pack(one, "all", block), F.col("qd") == F.col("dims")).select("qd", "qg", "qi", "qm", "ids", "m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, bound = None, np.zeros(0)
         for batch in batches:
             for r in range(batch.num_rows):
-                qi, xi = np.asarray(batch.column(1)[r].values), np.asarray(batch.column(4)[r].values)
-                q = np.frombuffer(batch.column(2)[r].as_buffer(), np.float64).reshape(dims, -1)
+                dims = batch.column(0)[r].as_py()
+                qi, xi = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in (2, 4))
+                q = np.frombuffer(batch.column(3)[r].as_buffer(), np.float64).reshape(dims, -1)
                 x = np.frombuffer(batch.column(5)[r].as_buffer(), np.float64).reshape(dims, -1)
-                diagonal = batch.column(0)[r].as_py() == batch.column(3)[r].as_py()
-                if now != batch.column(0)[r].as_py():
-                    now, bound = batch.column(0)[r].as_py(), np.full(len(qi), np.inf)
-                for a in range(0, len(qi), QUERIES):
-                    part = q[:, a : a + QUERIES]
-                    n = part.shape[1]
-                    same = np.arange(a, a + n) if diagonal else None
-                    i, j, dist = nearest(part, x, k, bound[a : a + n], same)
-                    keep = best(i, xi[j], dist, k)
-                    row, last = i[keep], np.full(n, -1)
-                    last[row] = np.arange(len(row))  # of each query, its k-th or last
-                    full = np.bincount(row, minlength=n) == k
-                    bound[a : a + n][full] = np.minimum(bound[a : a + n][full], dist[keep][last[full]])
-                    yield pa.RecordBatch.from_arrays([pa.array(qi[a + i[keep]]), pa.array(xi[j[keep]]), pa.array(np.sqrt(dist[keep]))], ["id", "neighbor_id", "distance"])
-
-    near = grid.mapInArrow(run, schema)
+                if now != (dims, batch.column(1)[r].as_py()):
+                    now, bound = (dims, batch.column(1)[r].as_py()), np.full(len(qi), np.inf)
+                place = np.minimum(np.searchsorted(xi, qi), len(xi) - 1)
+                same, n = np.where(xi[place] == qi, place, -1), len(qi)
+                i, j, dist = nearest(q, x, k, bound, same)
+                keep = best(i, xi[j], dist, k)
+                row, last = i[keep], np.full(n, -1)
+                last[row] = np.arange(len(row))  # of each query, its k-th or last
+                full = np.bincount(row, minlength=n) == k
+                bound[full] = np.minimum(bound[full], dist[keep][last[full]])
+                yield pa.RecordBatch.from_arrays([pa.array(qi[i[keep]]), pa.array(xi[j[keep]]), pa.array(np.sqrt(dist[keep]))], ["id", "neighbor_id", "distance"])
+
+    near = grid.mapInArrow(run, f"id {kind}, neighbor_id {kind}, distance double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbor_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "neighbor_id", "rank", "distance")
 
@@ -164,6 +166,6 @@ SELECT id, neighbor_id, rank, distance FROM (
   SELECT a.vec_id AS id, b.vec_id AS neighbor_id,
     round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))), 6) AS distance,
     row_number() OVER (PARTITION BY a.vec_id ORDER BY list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), b.vec_id)::INT AS rank
-  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
 WHERE rank <= 10
 """
