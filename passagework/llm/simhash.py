@@ -4,13 +4,16 @@ A text's fingerprint has 128 bits, each the majority over the hashes of its
 distinct features (ASCII lower case): every word of four bytes or more, and every
 shorter one together with the word before it, so each word has a vote and the few
 frequent short ones don't make texts alike. Two texts are near duplicates if the fingerprints differ in
-at most ``RADIUS`` places. Candidates come from structured bit masks: the bits
-are cut to quarters; in one of them a pair within the radius differs in at most
-r = (RADIUS - 3) / 4 places, and there a map of bit positions to the non-zero vectors over
-GF(2) gives 2**(r+1)-1 masks such that any r differing positions are all masked
-out by some mask. Every pair within the radius thus agrees on the masked bits of
-some table, with certainty. Pairs that the tables bring up beside, up to
-``ACCEPT`` places apart, are accepted too; unrelated texts are further apart.
+at most ``RADIUS`` places. Candidates come from structured bit masks: the bits are
+cut to parts, and a pair within the radius is within a smaller one, r, in some part
+(the radii of p parts add up to RADIUS - p + 1). There a map of bit positions to the
+non-zero vectors over GF(2) gives 2**(r+1)-1 masks such that any r differing positions
+are all masked out by some mask. Every pair within the radius thus agrees on the masked
+bits of some table, with certainty, whatever the number of parts. That follows the number
+of nodes: four parts give 124 tables with keys of 16 bits, three 317 with 21, two 2,046
+with 32, so buckets stay small as the table grows (from about 30 million and 2 billion
+nodes on). Pairs that the tables bring up beside, up to ``ACCEPT`` places apart, are
+accepted too; unrelated texts are further apart.
 
 Equal fingerprints are one node from the start, so exact copies cost no pairs.
 Nodes that share a masked value meet in a bucket; a small bucket gives its close
@@ -77,18 +80,37 @@ def fingerprints(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.packbits(up, axis=1, bitorder="little").view(np.uint64).reshape(n, 2), counts
 
 
-def masks(radius: int = RADIUS, seed: int = 17) -> list[tuple[int, int]]:
-    """Pairs of signed 64-bit masks, one for each table: a covering family for each quarter of the bits."""
-    inner = (radius - 3) // 4 if radius > 3 else 0
+def split(radius: int, parts: int) -> list[tuple[int, int]]:
+    """(bits, radius) of each part; a pair within ``radius`` is within that of its part in one of them at least."""
+    spare = radius - parts + 1
+    wide = [128 // parts + (i < 128 % parts) for i in range(parts)]
+    return [(w, max(0, spare // parts + (i < spare % parts))) for i, w in enumerate(wide)]
+
+
+def best_parts(nodes: int, radius: int = RADIUS) -> int:
+    """How many parts are cheapest for so many nodes: fewer ones have more tables, with longer keys.
+
+    A row that is moved costs about as much as 100 comparisons.
+    """
+
+    def cost(parts: int) -> float:
+        return sum(((2 << r) - 1) * nodes * (100 + nodes / 2 ** (bits / 2 + 1)) for bits, r in split(radius, parts))
+
+    return min((4, 3, 2), key=cost)
+
+
+def masks(radius: int = RADIUS, parts: int = 4, seed: int = 17) -> list[tuple[int, int]]:
+    """Pairs of signed 64-bit masks, one for each table: a covering family for each part of the bits."""
     rng = np.random.default_rng(seed)
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    out = []
-    for quarter in range(4):
+    out, at = [], 0
+    for bits, inner in split(radius, parts):
         # every vector but 0 gets a like share of the positions
-        phi = rng.permutation(np.arange(32) % ((1 << inner + 1) - 1) + 1)
-        for v in range(1, 1 << inner + 1):
-            mask = sum(1 << 32 * quarter + i for i in range(32) if bin(int(phi[i]) & v).count("1") % 2)
+        phi = rng.permutation(np.arange(bits) % ((2 << inner) - 1) + 1)
+        for v in range(1, 2 << inner):
+            mask = sum(1 << at + i for i in range(bits) if bin(int(phi[i]) & v).count("1") % 2)
             out.append((signed(mask & (1 << 64) - 1), signed(mask >> 64)))
+        at += bits
     return out
 
 
@@ -144,9 +166,9 @@ def bucket_edges(key: np.ndarray, node: np.ndarray, prints: np.ndarray, accept:
     return np.minimum(x, y), np.maximum(x, y)
 
 
-def close_pairs(nodes: DataFrame, radius: int = RADIUS, accept: int = ACCEPT) -> DataFrame:
+def close_pairs(nodes: DataFrame, radius: int = RADIUS, accept: int = ACCEPT, parts: int = 4) -> DataFrame:
     """(lo, hi): edges among nodes (node, a, b) that connect whatever the tables bring within ``accept``."""
-    tables = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p, q in masks(radius)])
+    tables = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p, q in masks(radius, parts)])
     mask = F.element_at(tables, F.col("t") + 1)
     masked = [F.col(c).bitwiseAND(mask[m]) for c, m in (("a", "p"), ("b", "q"))]
     # a row carries its table's number alone; the masked bits are made anew on either side of the shuffle
@@ -155,26 +177,28 @@ def close_pairs(nodes: DataFrame, radius: int = RADIUS, accept: int = ACCEPT) ->
     kind = nodes.schema["node"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last bucket's rows; the next batch may have more
+        held: list[np.ndarray] = []  # the last bucket's rows; the next batch may have more
 
-        def edges(bucket: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+        def edges(part: np.ndarray) -> pa.RecordBatch:
+            bucket = np.cumsum(np.r_[True, (part[1:, :3] != part[:-1, :3]).any(1)])
             lo, hi = bucket_edges(bucket, part[:, 3], part[:, 4:].view(np.uint64), accept)
             pairs = np.unique(np.stack([lo, hi], 1), axis=0) if len(lo) else np.zeros((0, 2), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]).cast(target), pa.array(pairs[:, 1]).cast(target)], ["lo", "hi"])
 
-        target = pa.int64()
         for batch in batches:
             target = batch.schema.field(3).type
             part = np.stack([np.asarray(c).astype(np.int64) for c in batch.columns], 1)
-            part = part if held is None else np.concatenate([held, part])
             if not len(part):
                 continue
-            bucket = np.cumsum(np.r_[True, (part[1:, :3] != part[:-1, :3]).any(1)])
-            cut = int(np.searchsorted(bucket, bucket[-1]))
-            held = part[cut:]
-            yield edges(bucket[:cut], part[:cut])
-        if held is not None:
-            yield edges(np.zeros(len(held), np.int64), held)
+            cut = int((part[:, :3] != part[-1, :3]).any(1).sum())  # rows come sorted: those before the last bucket
+            if held and (cut or (held[0][0, :3] != part[0, :3]).any()):
+                yield edges(np.concatenate([*held, part[:cut]]))
+                held = []
+            elif cut:
+                yield edges(part[:cut])
+            held.append(part[cut:])
+        if held:
+            yield edges(np.concatenate(held))
 
     return met.mapInArrow(run, f"lo {kind}, hi {kind}").distinct()
 
@@ -207,7 +231,7 @@ def groups(docs: DataFrame, radius: int = RADIUS, accept: int = ACCEPT) -> DataF
     """(doc_id, group_id, a, b) for every document that has words; group_id is the smallest doc_id."""
     prints = settle(fingerprint(docs).groupBy("doc_id").agg(F.min_by(F.struct("a", "b"), F.struct("a", "b")).alias("f")).select("doc_id", "f.a", "f.b"))
     nodes = settle(prints.groupBy("a", "b").agg(F.min("doc_id").alias("node")))
-    roots = components(close_pairs(nodes, radius, accept))
+    roots = components(close_pairs(nodes, radius, accept, best_parts(nodes.count(), radius)))
     named = nodes.join(roots, "node", "left").select("a", "b", F.coalesce("root", "node").alias("group_id"))
     return prints.join(named, ["a", "b"]).select("doc_id", "group_id", "a", "b")
 
