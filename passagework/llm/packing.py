@@ -13,13 +13,15 @@ tokens where the piece is full. A piece's tokens, segments and loss tokens are t
 its own range of tokens; a segment that is cut counts in each piece that has part of it.
 
 Cases: nothing is dropped; an example without tokens still takes a place. Null ids are
-dropped. Rows of one id are one example in ``pack``, in the order of ``at``. An empty
-table gives an empty result.
+dropped. Rows of one id are one example in ``pack``, in the order of ``at``, so repeated
+rows of a document make it as much longer. Null counts are 0. An empty table gives an
+empty result. Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import itertools
 from collections.abc import Iterable, Iterator
 
@@ -29,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passagework.session import settle
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LIMITS = {"tokens": 4096, "segments": 32, "loss_tokens": 3072}
@@ -36,21 +40,31 @@ GROUP = 4096
 NAMES = ["tokens", "segments", "loss_tokens"]
 
 
-def encoder(path: str = VOCABULARY):  # noqa: ANN201 - a tiktoken.Encoding
+def vocabulary(path: str = VOCABULARY) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+@functools.lru_cache(2)
+def encoder(data: bytes):  # noqa: ANN201 - a tiktoken.Encoding
+    """The tokenizer of a vocabulary file's content; a worker makes it once."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def count_tokens(rows: DataFrame, text: str, name: str, path: str = VOCABULARY) -> DataFrame:
-    """``rows`` with the column ``name`` (tokens of ``text``; null: 0) in the place of ``text``."""
+    """``rows`` with the column ``name`` (tokens of ``text``; null: 0) in the place of ``text``.
+
+    The vocabulary is read by the driver and sent out; a file of a tokenizer doesn't grow with the data.
+    """
     at = rows.columns.index(text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text) + f", `{name}` bigint"
+    sent = rows.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(sent.value)
         for batch in batches:
             sizes = [len(enc.encode_ordinary(x)) if x else 0 for x in batch.column(at).to_pylist()]
             rest = [c for i, c in enumerate(batch.columns) if i != at]
@@ -151,7 +165,9 @@ def pack(examples: DataFrame, limits: dict[str, int] = LIMITS, group: int = GROU
     order = [n for n in ("at", "tie") if n in examples.columns]
     demand = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in NAMES]
     rows = examples.where("example_id is not null").select("example_id", *order, *demand).withColumn("segments", F.greatest("segments", F.lit(1)))
+    rows = settle(rows)  # tokens are counted once
     groups = max(1, -(-rows.select("example_id").distinct().count() // group))
+    tasks = min(groups, max(groups // 64, int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     kind = examples.schema["example_id"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -164,7 +180,7 @@ def pack(examples: DataFrame, limits: dict[str, int] = LIMITS, group: int = GROU
         return pd.DataFrame(out | {n: parts[:, i] for i, n in enumerate(NAMES)} | {"start_token": start, "end_token": start + parts[:, 0]})
 
     keyed = rows.withColumn("g", F.pmod(F.xxhash64("example_id"), F.lit(groups)))
-    return keyed.groupBy("g").applyInPandas(run, f"example_id {kind}, piece int, pack_id bigint, position int, " + ", ".join(f"{n} bigint" for n in [*NAMES, "start_token", "end_token"]))
+    return keyed.repartition(tasks, "g").groupBy("g").applyInPandas(run, f"example_id {kind}, piece int, pack_id bigint, position int, " + ", ".join(f"{n} bigint" for n in [*NAMES, "start_token", "end_token"]))
 
 
 def conversations_demand(turns: DataFrame, path: str = VOCABULARY) -> DataFrame:
