@@ -5,8 +5,8 @@ whose records are gzip members of their own, and ``indexes/*.cdxj`` that say whe
 record lies. The reader opens a package by its last bytes: the end record, the ZIP64
 end record and its locator where sizes or counts don't fit, then the central
 directory. A record is at the member's data plus the offset in its index, so it is
-read by ranges of the package, and nothing is extracted. Members of a package without
-a usable index are scanned record after record, by ranges as well.
+read by ranges of the package, and nothing is extracted. What the indexes don't tell of
+is scanned record after record, by ranges as well.
 
 Work is spread by ranges: index lines are grouped to about ``SPAN`` bytes of one member,
 and only these places are shuffled. A package of any size is thus read by many tasks,
@@ -14,8 +14,11 @@ and a task holds one span. Files are opened by pyarrow, for any file system it k
 
 Cases: a package that can't be read gives one row in ``directory`` with its error and
 no records, as does an empty file; a member that is compressed or encrypted is listed with stored = false
-and isn't read. A record that doesn't parse has a null status and body and its error. Null urls and
-bodies are written without the header or as an empty block with its mark, and come back null. Packages of an
+and isn't read. Index lines that don't parse or point outside are passed over, and what they should tell of is
+scanned. A record that doesn't unpack or parse has a null status and body and its error; the scan goes on behind
+it. Keys are of any type, and are strings in records. Null urls and
+bodies are written without the header or as an empty block with its mark, and come back null; urls with line ends,
+blanks or braces come back as they were. Repeated rows are records of their own. Packages of an
 empty table are none; names of the input beside key, url and body don't matter.
 """
 
@@ -28,8 +31,11 @@ import json
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -153,7 +159,19 @@ def zip_members(file) -> list[tuple[str, bool, int, int]]:  # noqa: ANN001
 # ---- WARC
 
 
-def record_bytes(url: str | None, key: int | None, body: str | None) -> bytes:
+_SAFE = "".join(c for c in map(chr, range(33, 127)) if c != "%")
+
+
+def field(name: str, value: str | None) -> list[str]:
+    """Header lines of a value; one that a header can't hold as it is (line ends, outer blanks) is percent-encoded, and says so."""
+    if value is None:
+        return []
+    if value == value.strip() and value.isprintable():
+        return [f"{name}: {value}"]
+    return [f"{name}: {quote(value, safe=_SAFE)}", f"{name}-Encoding: percent"]
+
+
+def record_bytes(url: str | None, key: object, body: str | None) -> bytes:
     """One response record, a gzip member of its own."""
     html = (body or "").encode()
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + b"Content-Length: %d\r\n" % len(html) + (b"X-Body: null\r\n" if body is None else b"") + b"\r\n" + html
@@ -163,8 +181,8 @@ def record_bytes(url: str | None, key: int | None, body: str | None) -> bytes:
         "WARC-Type: response",
         f"WARC-Record-ID: <urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'{key}|{digest}'.encode(), usedforsecurity=False).digest())}>",
         "WARC-Date: 2024-01-01T00:00:00Z",
-        *([f"WARC-Target-URI: {url}"] if url is not None else []),
-        *([f"WARC-Key: {key}"] if key is not None else []),
+        *field("WARC-Target-URI", url),
+        *field("WARC-Key", None if key is None else str(key)),
         "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"Content-Length: {len(block)}",
@@ -184,7 +202,8 @@ def parse_record(data: bytes) -> dict:
         size = int(fields["content-length"])
         if len(rest) < size:
             raise ValueError("record is cut short")
-        row |= {"type": fields.get("warc-type"), "url": fields.get("warc-target-uri"), "key": int(fields["warc-key"]) if "warc-key" in fields else None}
+        url, key = (unquote(x) if x is not None and fields.get(n + "-encoding") == "percent" else x for n in ("warc-target-uri", "warc-key") for x in [fields.get(n)])
+        row |= {"type": fields.get("warc-type"), "url": url, "key": key}
         if fields.get("content-type", "").startswith("application/http"):
             http, _, body = rest[:size].partition(b"\r\n\r\n")
             words = http.split(b"\r\n", 1)[0].split()
@@ -202,17 +221,23 @@ def plain(data: bytes) -> bytes:
 
 
 def scan_member(file, start: int, size: int) -> Iterator[tuple[int, int]]:  # noqa: ANN001
-    """(offset, length) of the records of an archive member that has no index."""
+    """(offset, length) of the records of an archive member, or a part of one, that no index tells of.
+
+    What can't be unpacked is one record, up to where the next one is found.
+    """
     at, first = 0, file.read_at(min(2, size), start)
     if first == b"\x1f\x8b":
         while at < size:
             box, used = zlib.decompressobj(31), 0
-            while not box.eof and at + used < size:
-                piece = file.read_at(min(1 << 20, size - at - used), start + at + used)
-                while piece and not box.eof:
-                    box.decompress(piece, 1 << 22)
-                    used += len(piece) - len(box.unconsumed_tail) - len(box.unused_data)
-                    piece = box.unconsumed_tail
+            try:
+                while not box.eof and at + used < size:
+                    piece = file.read_at(min(1 << 20, size - at - used), start + at + used)
+                    while piece and not box.eof:
+                        box.decompress(piece, 1 << 22)
+                        used += len(piece) - len(box.unconsumed_tail) - len(box.unused_data)
+                        piece = box.unconsumed_tail
+            except zlib.error:
+                used = next_record(file, start + at + 1, size - at - 1) + 1
             yield at, used
             at += used
         return
@@ -221,12 +246,61 @@ def scan_member(file, start: int, size: int) -> Iterator[tuple[int, int]]:  # no
         while b"\r\n\r\n" not in head and at + len(head) < size:
             head += file.read_at(min(1 << 14, size - at - len(head)), start + at + len(head))
         stop = head.find(b"\r\n\r\n")
-        length = [int(x.split(b":")[1]) for x in head[:stop].split(b"\r\n") if x.lower().startswith(b"content-length:")] if stop >= 0 else []
+        length = [int(n) for k, _, n in (x.partition(b":") for x in head[:stop].split(b"\r\n")) if k.lower() == b"content-length" and n.strip().isdigit()] if stop >= 0 else []
         used = min(size - at, stop + 4 + length[0] + 4) if length else size - at
         yield at, used
         at += used
 
 
+def next_record(file, start: int, size: int) -> int:  # noqa: ANN001
+    """Bytes before the next gzip member that holds a WARC record; ``size`` if there is none."""
+    at = 0
+    while at < size:
+        piece = file.read_at(min((1 << 20) + 2, size - at), start + at)
+        spot = piece.find(b"\x1f\x8b\x08")
+        while 0 <= spot < 1 << 20:
+            try:
+                if zlib.decompressobj(31).decompress(file.read_at(min(4096, size - at - spot), start + at + spot), 5) == b"WARC/":
+                    return at + spot
+            except zlib.error:
+                pass
+            spot = piece.find(b"\x1f\x8b\x08", spot + 1)
+        at += 1 << 20
+    return size
+
+
+def index_lines(file, start: int, size: int) -> Iterator[bytes]:  # noqa: ANN001
+    """Lines of an index, packed or not, read by ranges; they end where it can't be unpacked."""
+    box = zlib.decompressobj(31) if file.read_at(min(2, size), start) == b"\x1f\x8b" else None
+    held = b""
+    for at in range(0, size, 1 << 20):
+        piece = file.read_at(min(1 << 20, size - at), start + at)
+        while piece:
+            if box is None:
+                text, piece = piece, b""
+            else:
+                try:
+                    text = box.decompress(piece, 1 << 22)
+                except zlib.error:
+                    return
+                piece = box.unconsumed_tail
+                if box.eof:
+                    piece, box = box.unused_data, zlib.decompressobj(31)
+            *lines, held = (held + text).split(b"\n")
+            yield from lines
+    yield held
+
+
+def told(line: bytes) -> tuple[str, int, int] | None:
+    """(file name, offset, length) of an index line; none if it is something else."""
+    parts = line.split(b" ", 2)
+    try:
+        at = json.loads(parts[2])
+        return str(at["filename"]), int(at["offset"]), int(at["length"])
+    except (ValueError, KeyError, IndexError, TypeError):
+        return None
+
+
 # ---- DataFrames
 
 
@@ -236,7 +310,7 @@ def write_packages(pages: DataFrame, key: str = "page_id", url: str = "url", bod
     The list is checkpointed, so a package that a lost task began isn't in it.
     """
     where = folder or fresh_path(pages.sparkSession, "packages")
-    rows = pages.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{body}`").cast("string").alias("body"))
+    rows = pages.select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{body}`").cast("string").alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         box, lines, name, offset = None, [], "", 0
@@ -260,7 +334,7 @@ def write_packages(pages: DataFrame, key: str = "page_id", url: str = "url", bod
                     box.begin("archive/data.warc.gz")
                 data = record_bytes(u, k, b)
                 box.add(data)
-                lines.append(f"{u or '-'} 20240101000000 " + json.dumps({"offset": offset, "length": len(data), "filename": "data.warc.gz"}) + "\n")
+                lines.append(f"{quote(u or '-', safe=_SAFE)} 20240101000000 " + json.dumps({"offset": offset, "length": len(data), "filename": "data.warc.gz"}) + "\n")
                 offset += len(data)
                 if offset > ROLL:
                     yield finish()
@@ -298,37 +372,41 @@ def locate(packages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                starts, lengths = [], []
-                archives = {m["member"].rpartition("/")[2]: m for m in listed if m["member"].startswith("archive/") and m["member"].endswith((".warc", ".warc.gz"))}
-                told = set()
+                starts, lengths = array("q"), array("q")
+                archives = {m["member"].removeprefix("archive/"): m for m in listed if m["member"].startswith("archive/") and m["member"].endswith((".warc", ".warc.gz"))}
+                last = [n.rpartition("/")[2] for n in archives]
+                short = {n.rpartition("/")[2]: m for n, m in archives.items() if last.count(n.rpartition("/")[2]) == 1}
+                ranges: dict[str, list[tuple[int, int]]] = {n: [] for n in archives}
                 with open_file(path) as file:
                     for m in listed:
                         if not (m["member"].startswith("indexes/") and m["member"].endswith((".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz"))):
                             continue
-                        for line in plain(file.read_at(m["size"], m["offset"])).splitlines():
-                            _, brace, rest = line.partition(b"{")
-                            if not brace:
-                                continue
-                            at = json.loads(b"{" + rest)
-                            archive = archives.get(at["filename"].rpartition("/")[2])
-                            if archive and int(at["offset"]) + int(at["length"]) <= archive["size"]:
-                                told.add(archive["member"])
-                                starts.append(archive["offset"] + int(at["offset"]))
-                                lengths.append(int(at["length"]))
-                    for m in archives.values():
-                        if m["member"] not in told:
-                            for a, n in scan_member(file, m["offset"], m["size"]):
-                                starts.append(m["offset"] + a)
+                        for name, at, n in filter(None, map(told, index_lines(file, m["offset"], m["size"]))):
+                            archive = archives.get(name.removeprefix("archive/")) or short.get(name.rpartition("/")[2])
+                            if archive and 0 <= at and 0 < n <= archive["size"] - at:
+                                ranges[archive["member"].removeprefix("archive/")].append((at, n))
+                    for name, m in archives.items():
+                        done = 0
+                        for at, n in [*sorted(set(ranges[name])), (m["size"], 0)]:
+                            if at > done:  # no line tells of these bytes
+                                for a, size in scan_member(file, m["offset"] + done, at - done):
+                                    starts.append(m["offset"] + done + a)
+                                    lengths.append(size)
+                            if n:
+                                starts.append(m["offset"] + at)
                                 lengths.append(n)
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(starts), pa.string()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64())], ["package", "start", "length"])
+                            done = max(done, at + n)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(starts), pa.string()), pa.array(np.asarray(starts)), pa.array(np.asarray(lengths))], ["package", "start", "length"])
 
     return own.mapInArrow(run, "package string, start bigint, length bigint").distinct()
 
 
 def records(packages: DataFrame) -> DataFrame:
     """(package, start, type, url, key, status, body, digest_ok, error) of every record."""
-    spans = locate(packages).groupBy("package", F.floor(F.col("start") / SPAN).alias("span")).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("places"))
-    types = {"package": pa.string(), "start": pa.int64(), "type": pa.string(), "url": pa.string(), "key": pa.int64(), "status": pa.int32(), "body": pa.string(), "digest_ok": pa.bool_(), "error": pa.string()}
+    spans = settle(locate(packages).groupBy("package", F.floor(F.col("start") / SPAN).alias("span")).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("places")))
+    count = spans.count()
+    tasks = max(1, min(count, max(count // 16, 2 * packages.sparkSession.sparkContext.defaultParallelism)))  # places are few bytes, but what they name isn't
+    types = {"package": pa.string(), "start": pa.int64(), "type": pa.string(), "url": pa.string(), "key": pa.string(), "status": pa.int32(), "body": pa.string(), "digest_ok": pa.bool_(), "error": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -347,15 +425,15 @@ def records(packages: DataFrame) -> DataFrame:
                         rows.append({"package": path, "start": p["start"], **row})
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in types.items()], names=list(types))
 
-    kinds = "package string, start bigint, type string, url string, key bigint, status int, body string, digest_ok boolean, error string"
-    spread = spans.repartition("package", "span").select("package", "places")
+    kinds = "package string, start bigint, type string, url string, key string, status int, body string, digest_ok boolean, error string"
+    spread = spans.repartition(tasks, "package", "span").select("package", "places")
     return spread.mapInArrow(run, kinds)
 
 
 def read_back(pages: DataFrame) -> DataFrame:
     """(page_id, url, html, n_bytes, digest_ok): ``pages`` as read out of packages written from them."""
     found = records(write_packages(pages))
-    return found.select(F.col("key").alias("page_id"), "url", F.col("body").alias("html"), F.octet_length("body").cast("bigint").alias("n_bytes"), "digest_ok")
+    return found.select(F.col("key").cast(pages.schema["page_id"].dataType).alias("page_id"), "url", F.col("body").alias("html"), F.octet_length("body").cast("bigint").alias("n_bytes"), "digest_ok")
 
 
 ORACLE = """
