@@ -10,8 +10,9 @@ matrix product over batches of windows. The plan is narrow.
 
 Cases: a null, empty or blank text has no language (null, score 0) and is not
 kept. Without any labelled row the language is null and every text is kept; with
-one language all get it. Repeated rows get equal results; other columns pass
-through.
+one language all get it. Of equally likely languages the first by name is taken. Repeated
+rows get equal results; other columns pass through, whatever their names, and are not
+needed.
 """
 
 from __future__ import annotations
@@ -82,16 +83,16 @@ class ByteCnn:
         return out
 
     def predict(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the language (-1: none) and its probability, for each text."""
+        """Index of the language (-1: none; the first of equal ones) and the probabilities of all, for each text."""
         n = len(offsets) - 1
-        best, prob = np.full(n, -1), np.zeros(n)
+        best, prob = np.full(n, -1), np.zeros((n, max(1, len(self.languages))))
         starts, periods, row = cut_windows(offsets)
         if not self.languages or not len(row):
             return best, prob
         logs = self.windows_log(raw, starts, periods)
         some, at, counts = np.unique(row, return_index=True, return_counts=True)
         p = np.add.reduceat(np.exp(logs), at) / counts[:, None]
-        best[some], prob[some] = p.argmax(1), p.max(1)
+        best[some], prob[some] = p.argmax(1), p
         return best, prob
 
 
@@ -148,8 +149,10 @@ def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: i
 def train(docs: DataFrame, per_language: int = 500, max_windows: int = 3000) -> ByteCnn:
     """Fit on at most ``per_language`` labelled documents and ``max_windows`` windows of each language.
 
-    The sample goes by a hash of doc_id; a label is a non-empty ``lang``.
+    The sample goes by a hash of doc_id; a label is a non-empty ``lang``. Without such a column nothing is learned.
     """
+    if "lang" not in docs.columns:
+        return ByteCnn([], {})
     labelled = docs.where("doc_id is not null and lang is not null and lang <> ''").select("doc_id", "lang").distinct()
     ids = sample_ids(labelled, "lang", per_language)
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).toArrow()
@@ -174,10 +177,10 @@ def train(docs: DataFrame, per_language: int = 500, max_windows: int = 3000) ->
 
 
 def judge(model: ByteCnn, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Language index (-1: none), probability and blankness of the texts of a batch."""
+    """Language index (-1: none), probabilities of all languages and blankness of the texts of a batch."""
     raw, offsets = text_buffers(column)
     n = len(offsets) - 1
-    best, prob, blank = np.full(n, -1), np.zeros(n), np.ones(n, bool)
+    best, prob, blank = np.full(n, -1), np.zeros((n, max(1, len(model.languages)))), np.ones(n, bool)
     for i, j in steps(offsets):
         part, off = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         solid = np.concatenate([[0], np.cumsum(~_SPACE[part])])[off]
@@ -194,26 +197,29 @@ def identify(docs: DataFrame, model: ByteCnn) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best, prob, _ = judge(model, batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(prob)], ["doc_id", "language", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(prob.max(1))], ["doc_id", "language", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, language string, score double")
 
 
-def keep_identified(docs: DataFrame, model: ByteCnn, least: float = 0.4, sure: float = 0.98) -> DataFrame:
+def keep_identified(docs: DataFrame, model: ByteCnn, least: float = 0.4, foreign: float = 0.05) -> DataFrame:
     """The documents whose language is clear, with all their columns.
 
-    One goes if its text is blank, if no language reaches ``least``, or if the
-    model is ``sure`` of another language than the one declared in ``lang``.
+    One goes if its text is blank, if no language reaches ``least``, or if the one declared
+    in ``lang`` (where there is such a column, and the model knows it) has less than
+    ``foreign``, as a mean over the text's windows: some windows of junk, names or
+    quotations neither save a mislabelled text nor condemn a right one.
     """
-    at, lang = docs.columns.index("text"), docs.columns.index("lang")
+    at, lang = docs.columns.index("text"), docs.columns.index("lang") if "lang" in docs.columns else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array([*model.languages, None], dtype=object)
+        place = {name: i for i, name in enumerate(model.languages)}
         for batch in batches:
-            best, prob, blank = judge(model, batch.column(at))
-            declared = np.array(batch.column(lang).to_pylist(), dtype=object)
-            other = np.array([d in model.languages and d != p for d, p in zip(declared, names[best], strict=True)], bool)
-            good = ~blank & (((prob >= least) & ~(other & (prob >= sure))) | (not model.languages))
+            _, prob, blank = judge(model, batch.column(at))
+            good = ~blank
+            if model.languages:
+                own = np.array([place.get(x, -1) for x in batch.column(lang).to_pylist()] if lang >= 0 else [-1] * len(blank), np.int64)
+                good &= (prob.max(1) >= least) & ((own < 0) | (prob[np.arange(len(own)), own] >= foreign))
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
