@@ -11,8 +11,9 @@ a shuffle.
 Cases: a null, empty or blank text has no passage, its score is null and it is
 not kept. Without labelled rows of both classes nothing can be learned: scores
 are null and every document with text is kept. Several labels of one document
-are averaged (a half counts as good). Repeated documents get equal scores. Other
-columns of the input are neither read nor changed.
+are averaged (a half counts as good). Repeated documents get equal scores. Of passages
+of equal weight the first is the top one. Other columns of the input are neither read
+nor changed.
 """
 
 from __future__ import annotations
@@ -115,6 +116,26 @@ def attend(w: dict[str, np.ndarray], hidden: np.ndarray, at: np.ndarray, counts:
     return weight, np.add.reduceat(hidden * weight[:, None], at), t, s
 
 
+def gradient(w: dict[str, np.ndarray], x: np.ndarray, at: np.ndarray, counts: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the weighted cross-entropy of bags (passages ``x`` from ``at``, labels ``y``) by every weight."""
+    owner = np.repeat(np.arange(len(y)), counts)
+    h = np.tanh(x @ w["E"] + w["be"])
+    a, z, t, s = attend(w, h, at, counts)
+    p = 1 / (1 + np.exp(-(z @ w["c"] + w["b"][0])))
+    d = ((p - y) * weight).astype(x.dtype)
+    g = {"c": z.T @ d, "b": d.sum(keepdims=True)}
+    dz = (d[:, None] * w["c"])[owner]
+    da = (h * dz).sum(1)
+    de = a * (da - np.repeat(np.add.reduceat(a * da, at), counts))
+    g["w"] = (t * s).T @ de
+    dg = de[:, None] * w["w"]
+    dt, ds = dg * s * (1 - t * t), dg * t * s * (1 - s)
+    g["V"], g["U"] = h.T @ dt, h.T @ ds
+    dh = (a[:, None] * dz + dt @ w["V"].T + ds @ w["U"].T) * (1 - h * h)
+    g["E"], g["be"] = x.T @ dh, dh.sum(0)
+    return g
+
+
 def fit(bags: list[np.ndarray], labels: np.ndarray, threshold: float = 0.25, hidden: int = 32, gates: int = 16, epochs: int = 14, seed: int = 7) -> MilModel:
     """Adam on the weighted cross-entropy of documents; ``bags`` hold passage features."""
     if len(bags) == 0 or labels.min() == labels.max():
@@ -132,21 +153,9 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, threshold: float = 0.25, hid
             pick = order[i : i + 64]
             x = np.concatenate([bags[p] for p in pick])
             counts = np.array([len(bags[p]) for p in pick])
-            at, owner, y = np.cumsum(counts) - counts, np.repeat(np.arange(len(pick)), counts), labels[pick]
-            h = np.tanh(x @ w["E"] + w["be"])
-            a, z, t, s = attend(w, h, at, counts)
-            p = 1 / (1 + np.exp(-(z @ w["c"] + w["b"][0])))
-            d = ((p - y) * np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) / len(pick)).astype(np.float32)
-            g = {"c": z.T @ d, "b": d.sum(keepdims=True)}
-            dz = (d[:, None] * w["c"])[owner]
-            da = (h * dz).sum(1)
-            de = a * (da - np.repeat(np.add.reduceat(a * da, at), counts))
-            g["w"] = (t * s).T @ de
-            dg = de[:, None] * w["w"]
-            dt, ds = dg * s * (1 - t * t), dg * t * s * (1 - s)
-            g["V"], g["U"] = h.T @ dt, h.T @ ds
-            dh = (a[:, None] * dz + dt @ w["V"].T + ds @ w["U"].T) * (1 - h * h)
-            g["E"], g["be"] = x.T @ dh + 1e-4 * w["E"], dh.sum(0)
+            at, y = np.cumsum(counts) - counts, labels[pick]
+            g = gradient(w, x, at, counts, y, np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) / len(pick))
+            g["E"] += 1e-4 * w["E"]
             step += 1
             for k in w:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
@@ -182,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_passage
         total += len(starts)
         bags.append(features(text, starts, stops, ends[owner + 1]))
         ys.append(truth[i])
-        if truth[i] and len(text) > 200 and rng.random() < 0.4:  # a piece of a good document is good: short texts are learned too
+        if truth[i] and len(text) > 200 and rng.random() < 0.4:  # a piece of a good document is taken for good: short texts are learned too
             begin, size = int(rng.integers(0, len(text) - 160)), int(rng.integers(16, 160))
             bags.append(features(text, np.array([begin]), np.array([begin + size]), np.array([begin + size])))
             ys.append(1)
