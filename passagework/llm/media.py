@@ -9,8 +9,9 @@ frame before by more than an adaptive bound: twice the median of the differences
 plus ``SPREAD`` times their median deviation, and ``FLOOR`` at least. A pixel counts for
 the two bins next to it, so a slight change of light moves little. Each shot is a row.
 
-The plan is narrow: files are decoded where they are read, and a task holds ``FRAMES``
-frames. Cases: null media gives no row; what isn't an AVI file with a
+The plan is narrow: files are decoded where they are read, in groups of at most ``FRAMES``
+frames and ``PIXELS`` pixels (a larger frame is a group of its own), of which only the
+histograms stay. Cases: null media gives no row; what isn't an AVI file with a
 video stream, or has no frame, gives one row without times and with its error. A frame of size zero repeats
 the one before; one that can't be decoded is counted in bad_frames and does the
 same. A file of one frame is one clip. Rows are treated one by one, so repeated rows
@@ -37,6 +38,7 @@ AROUND = 8
 SPREAD = 5.0
 FLOOR = 0.2
 FRAMES = 4096
+PIXELS = 1 << 22  # decoded at once
 _CENTRES = (np.arange(BINS) + 0.5) * 256 / BINS
 _SOFT = np.maximum(0, 1 - np.abs(np.clip(np.arange(256)[:, None], _CENTRES[0], _CENTRES[-1]) - _CENTRES[None, :]) * BINS / 256)
 _LISTS = (b"RIFF", b"LIST")
@@ -149,6 +151,20 @@ def parse_avi(data: bytes) -> tuple[float, list[tuple[int, int]]]:
 # ---- shots
 
 
+def groups(frames: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of frames that are decoded together; sizes are read from the frame headers."""
+    begin, total = 0, 0
+    for i, f in enumerate(frames):
+        at = max(f.find(b"\xff\xc0"), f.find(b"\xff\xc1")) if len(f) > 9 else -1
+        size = int.from_bytes(f[at + 5 : at + 7], "big") * int.from_bytes(f[at + 7 : at + 9], "big") if at >= 0 else 0
+        if i > begin and (i - begin == FRAMES or total + size > PIXELS):
+            yield begin, i
+            begin, total = i, 0
+        total += size
+    if frames:
+        yield begin, len(frames)
+
+
 def histograms(frames: list[bytes]) -> np.ndarray:
     """Shares of luma in ``BINS`` bins, a row a frame; nan where it can't be decoded or is empty."""
     out = np.full((len(frames), BINS), np.nan)
@@ -193,7 +209,7 @@ def find_clips(videos: list[list[bytes]]) -> list[tuple[list[int], list[int]]]:
     """For each video the first frames of its shots, and the undecodable frames of each shot."""
     sizes = np.array([len(v) for v in videos], np.int64)
     flat = [f for v in videos for f in v]
-    hist = np.concatenate([np.zeros((0, BINS)), *(histograms(flat[i : i + FRAMES]) for i in range(0, len(flat), FRAMES))])
+    hist = np.concatenate([np.zeros((0, BINS)), *(histograms(flat[a:b]) for a, b in groups(flat))])
     owner = np.repeat(np.arange(len(videos)), sizes)
     lost = np.isnan(hist[:, 0])
     broken = lost & np.array([bool(f) for f in flat], bool)
@@ -260,30 +276,44 @@ def clips(rows: DataFrame, key: str = "page_id", media: str = "media") -> DataFr
 
 WIDTH, HEIGHT, RATE = 32, 24, 10
 LEVELS = np.array([30, 90, 150, 210])
+INDEXES = ("idx1", "absolute", "opendml", "none")
 
 
 def scenes(size: int) -> list[int]:
-    """Frames of the scenes of the film of a text of so many bytes."""
-    return [5 + size // (s + 1) % 4 for s in range(1 + size % 4)]
+    """Frames of the scenes of the film of a text of so many bytes: longer texts have longer films."""
+    return [5 + size // (s + 1) % 4 for s in range(1 + size % 4 + size // 4096)]
 
 
 def films(texts: list[bytes]) -> list[bytes]:
-    """A film of each text: its length gives the scenes, and all its bytes the looks."""
-    lengths = [scenes(len(t)) for t in texts]
-    sizes = np.array([sum(x) for x in lengths], np.int64)
-    total = int(sizes.sum())
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    frame = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    scene = np.concatenate([np.zeros(0, np.int64), *(np.repeat(np.arange(len(x)), x) for x in lengths)]).astype(np.int64)
-    look = np.array([zlib.crc32(t) for t in texts], np.uint64)
-    cells = (mix64(look[:, None] * np.uint64(64) + np.arange(12, dtype=np.uint64)) % np.uint64(17)).astype(np.int64) - 8
-    texture = np.repeat(np.repeat(cells.reshape(-1, 3, 4), 8, axis=1), 8, axis=2)
-    columns = (np.arange(WIDTH)[None, :] + 4 * frame[:, None]) % WIDTH
-    level = LEVELS[(look[owner] % np.uint64(4)).astype(np.int64) + scene & 3]
-    pixels = (texture[owner[:, None, None], np.arange(HEIGHT)[None, :, None], columns[:, None, :]] + level[:, None, None]).astype(np.uint8)
-    coded = encode_frames([pixels], quality=50, tables=False) if total else []
-    ends = np.cumsum(sizes)
-    return [write_avi(coded[e - n : e], WIDTH, HEIGHT, RATE) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    """A film of each text: its length gives the scenes, the index, the size and the colour, and all its bytes the looks.
+
+    Pictures move, and brighten slowly within a scene.
+    """
+    out: list[bytes] = [b""] * len(texts)
+    kinds: dict[tuple[int, bool], list[int]] = {}
+    for i, t in enumerate(texts):
+        kinds.setdefault((1 + (len(t) % 5 == 0), len(t) % 3 == 0), []).append(i)
+    for (scale, colour), own in kinds.items():
+        height, width = HEIGHT * scale, WIDTH * scale
+        lengths = [scenes(len(texts[i])) for i in own]
+        sizes = np.array([sum(x) for x in lengths], np.int64)
+        owner = np.repeat(np.arange(len(own)), sizes)
+        frame = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        scene = np.concatenate([np.repeat(np.arange(len(x)), x) for x in lengths])
+        inside = np.concatenate([np.arange(n) for x in lengths for n in x])
+        look = np.array([zlib.crc32(texts[i]) for i in own], np.uint64)
+        cells = (mix64(look[:, None] * np.uint64(64) + np.arange(12, dtype=np.uint64)) % np.uint64(17)).astype(np.int64) - 8
+        texture = np.repeat(np.repeat(cells.reshape(-1, 3, 4), height // 3, axis=1), width // 4, axis=2)
+        columns = (np.arange(width)[None, :] + 4 * frame[:, None]) % width
+        level = LEVELS[(look[owner] % np.uint64(4)).astype(np.int64) + scene & 3] + inside
+        planes = [(texture[owner[:, None, None], np.arange(height)[None, :, None], columns[:, None, :]] + level[:, None, None]).astype(np.uint8)]
+        if colour:
+            tint = (look[owner] >> np.uint64(8) & np.uint64(63)).astype(np.uint8)
+            planes += [np.broadcast_to(c[:, None, None], (len(frame), height // 2, width // 2)) for c in (96 + tint, 160 - tint)]
+        coded = encode_frames(planes, ((2, 2), (1, 1), (1, 1)) if colour else ((1, 1),), quality=50, tables=colour)
+        for i, e, n in zip(own, np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
+            out[i] = write_avi(coded[e - n : e], width, height, RATE, index=INDEXES[len(texts[i]) // 4 % 4])
+    return out
 
 
 def with_films(rows: DataFrame, key: str = "page_id", text: str = "html", media: str = "media") -> DataFrame:
@@ -303,7 +333,7 @@ def with_films(rows: DataFrame, key: str = "page_id", text: str = "html", media:
 
 ORACLE = """
 WITH p AS (SELECT page_id, octet_length(encode(html)) AS n FROM pages WHERE html IS NOT NULL),
-s AS (SELECT page_id, unnest(range(0, 1 + n % 4))::INT AS clip, n FROM p),
+s AS (SELECT page_id, unnest(range(0, 1 + n % 4 + n // 4096))::INT AS clip, n FROM p),
 f AS (SELECT page_id, clip, 5 + (n // (clip + 1)) % 4 AS frames FROM s),
 e AS (SELECT page_id, clip, frames, sum(frames) OVER (PARTITION BY page_id ORDER BY clip) AS stop FROM f)
 SELECT page_id, clip, (stop - frames)::INT AS start_frame, stop::INT AS end_frame,
