@@ -49,6 +49,37 @@ def test_mil_passages_cover_texts():
     assert row.tolist() == [1, 2, 2, 2] and (ends - starts).tolist() == [5, 1024, 1024, 452]
 
 
+def test_mil_forward_and_gradient_equal_plain_loops():
+    rng = np.random.default_rng(9)
+    w = {k: rng.normal(size=v) * 0.5 for k, v in (("E", (7, 4)), ("be", 4), ("V", (4, 3)), ("U", (4, 3)), ("w", 3), ("c", 4), ("b", 1))}
+    counts = np.array([1, 3, 2])
+    x, y, weight, at = rng.normal(size=(6, 7)), np.array([1.0, 0.0, 1.0]), np.array([0.3, 0.5, 0.2]), np.array([0, 1, 4])
+
+    def forward(w):
+        scores, attention = [], []
+        for begin, n in zip(at, counts, strict=True):
+            hs = [np.tanh(x[i] @ w["E"] + w["be"]) for i in range(begin, begin + n)]
+            e = [sum(w["w"][g] * np.tanh(h @ w["V"][:, g]) / (1 + np.exp(-(h @ w["U"][:, g]))) for g in range(3)) for h in hs]
+            a = [np.exp(v) / sum(map(np.exp, e)) for v in e]
+            attention += a
+            scores.append(1 / (1 + np.exp(-(sum(p * h for p, h in zip(a, hs, strict=True)) @ w["c"] + w["b"][0]))))
+        return np.array(scores), np.array(attention)
+
+    def loss(w):
+        p = forward(w)[0]
+        return -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()
+
+    got, z = quality_mil.attend(w, np.tanh(x @ w["E"] + w["be"]), at, counts)[:2]
+    assert np.allclose(got, forward(w)[1]) and np.allclose(1 / (1 + np.exp(-(z @ w["c"] + w["b"][0]))), forward(w)[0])
+    g = quality_mil.gradient(w, x, at, counts, y, weight)
+    for k in w:
+        for spot in np.ndindex(w[k].shape):
+            up, down = {n: v.copy() for n, v in w.items()}, {n: v.copy() for n, v in w.items()}
+            up[k][spot] += 1e-5
+            down[k][spot] -= 1e-5
+            assert abs((loss(up) - loss(down)) / 2e-5 - g[k][spot]) < 1e-7, (k, spot)
+
+
 # ---- 2 packing
 
 
@@ -99,7 +130,7 @@ def test_long_examples_are_cut_along_their_turns(spark):
     turns = [(c, t, rng.choice(["user", "assistant"]), "word " * rng.choice([0, 3, 900, 3500, 9000])) for c in range(12) for t in range(rng.choice([1, 3, 40]))]
     rng.shuffle(turns)
     df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
-    enc = packing.encoder()
+    enc = packing.encoder(packing.vocabulary())
     flags = {c: [] for c in range(12)}  # a (turn, bears loss) for each token
     for c, t, role, text in sorted(turns, key=lambda x: x[:2]):
         flags[c] += [(t, role == "assistant")] * len(enc.encode_ordinary(text))
@@ -176,17 +207,52 @@ def test_language_accuracy_and_odd_rows(spark):
     assert langid.keep_identified(odd, langid.train(docs.limit(0))).count() == 2 and langid.identify(odd.limit(0), model).count() == 0
 
 
+def test_network_equals_a_plain_convolution():
+    rng = np.random.default_rng(3)
+    windows = rng.integers(0, 256, (6, langid.WINDOW)).astype(np.uint8)
+    model = langid.fit(windows, np.array([0, 1, 0, 1, 0, 1]), ["a", "b"], epochs=1)
+    pooled = model.pooled(windows)
+    for n, window in enumerate(windows):
+        emb = [model.w["emb"][b] for b in window]
+        for k, width in enumerate(langid.WIDTHS):
+            for f in range(langid.FILTERS):
+                own = model.w[f"f{width}"][: width * langid.DEPTH, f]
+                best = max(sum(float(emb[p + j] @ own[j * langid.DEPTH : (j + 1) * langid.DEPTH]) for j in range(width)) for p in range(langid.PLACES))
+                assert abs(max(0, best + model.w["bias"][k * langid.FILTERS + f]) - pooled[n, k * langid.FILTERS + f]) < 1e-4
+
+
+def test_mislabelled_texts_go_and_others_stay(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    model = langid.train(docs.where("doc_id % 2 = 0"))
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.where("doc_id % 2 = 1 and length(text) > 300 and lang is not null").limit(60).collect()]
+    wrong = {"en": "fr", "fr": "de", "de": "es", "es": "en"}
+    junk = "<div> $$ 12 :: http www >> " * 4
+    cases = [(d, t, x) for d, t, x in rows] + [(d + 10**6, t, wrong.get(x, "en")) for d, t, x in rows] + [(d + 2 * 10**6, (t + " ") * (3000 // len(t) + 1) + junk, wrong.get(x, "en")) for d, t, x in rows]
+    df = spark.createDataFrame(cases, "doc_id long, text string, lang string")
+    kept = [r.doc_id for r in langid.keep_identified(df, model).select("doc_id").collect()]
+    share = [sum(d // 10**6 == k for d in kept) / len(rows) for k in range(3)]
+    assert share[0] >= 0.97 and share[1] <= 0.1 and share[2] <= 0.1, share
+    bare = df.drop("lang").withColumn("language", F.lit(1))
+    assert langid.keep_identified(bare, model).count() >= 0.97 * 3 * len(rows) and langid.train(bare).languages == []
+
+
 # ---- 5 SimHash
 
 
-def test_covering_masks():
-    masks = [(a & (1 << 64) - 1) | (b & (1 << 64) - 1) << 64 for a, b in simhash.masks()]
+@pytest.mark.parametrize("parts", [4, 3, 2])
+def test_covering_masks(parts):
+    masks = [(a & (1 << 64) - 1) | (b & (1 << 64) - 1) << 64 for a, b in simhash.masks(parts=parts)]
+    assert len(masks) == {4: 124, 3: 317, 2: 2046}[parts]
     rng = random.Random(2)
-    for _ in range(3000):
+    for _ in range(1000):
         diff = sum(1 << p for p in rng.sample(range(128), simhash.RADIUS))
         assert any(not diff & m for m in masks)
 
 
+def test_keys_grow_with_the_number_of_nodes():
+    assert [simhash.best_parts(n) for n in (0, 10**6, 10**8, 10**10)] == [4, 4, 3, 2]
+
+
 def test_simhash_fingerprints_and_groups(spark):
     rng = random.Random(3)
     base = ["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(300)]
@@ -200,22 +266,32 @@ def test_simhash_fingerprints_and_groups(spark):
     assert simhash.keep_one(df).where("doc_id = 0").count() == 2 and simhash.mark(df.limit(0)).count() == 0
 
 
-def test_simhash_pairs_equal_brute_force(spark):
+def test_simhash_groups_lie_between_brute_force_closures(spark, monkeypatch):
     docs = table(spark, "/root/testdata/sf0.01", "documents").where("doc_id is not null")
     prints = {r.doc_id: r.a & (1 << 64) - 1 | (r.b & (1 << 64) - 1) << 64 for r in simhash.fingerprint(docs).collect()}
-    root = {d: d for d in prints}
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
+    def joined(most):
+        root = {d: d for d in prints}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b, apart in pairs:
+            if apart <= most:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+        return {d: find(d) for d in prints}
 
-    for a, b in itertools.combinations(sorted(prints), 2):
-        if (prints[a] ^ prints[b]).bit_count() <= simhash.RADIUS:
-            x, y = sorted((find(a), find(b)))
-            root[y] = x
-    got = {r.doc_id: r.group_id for r in simhash.mark(docs).collect()}
-    assert all(got[d] == got[find(d)] for d in prints)  # every pair within the radius is together
+    pairs = [(a, b, (prints[a] ^ prints[b]).bit_count()) for a, b in itertools.combinations(sorted(prints), 2)]
+    within, beyond = joined(simhash.RADIUS), joined(simhash.ACCEPT)
+    for parts in (4, 3):
+        monkeypatch.setattr(simhash, "best_parts", lambda n, radius, parts=parts: parts)
+        got = {r.doc_id: r.group_id for r in simhash.mark(docs).collect()}
+        assert all(got[d] == got[within[d]] for d in prints)  # every pair within the radius is together
+        assert all(beyond[got[d]] == beyond[d] for d in prints)  # none is together but by a chain of accepted pairs
+        assert len(set(within.values())) < len(prints)
 
 
 def test_texts_that_differ_in_short_words_stay_apart(spark):
@@ -232,14 +308,14 @@ def test_texts_that_differ_in_short_words_stay_apart(spark):
 
 
 def test_license_alignment_and_scan(spark):
-    full = licenses.TEMPLATES["mit"]
+    full = licenses.TEMPLATES["MIT"]
     a, b = licenses.tokens("start " + full + " end"), licenses.tokens(full)
     pairs = licenses.align(a, b)
     assert [p for _, p in pairs] == list(range(len(b))) and all(a[i] == b[j] for i, j in pairs)
     changed = full.replace("free of charge", "at no cost").replace("sublicense", "relicense")
     docs = docs_of(spark, "x " * 5000 + changed + " y" * 5000 + " " + full, None, "", "nothing of this kind", "All rights reserved.", "All rights reserved.")
     got = licenses.scan(docs).collect()
-    mit = sorted((r.first_word, round(r.coverage, 2)) for r in got if r.license == "mit")
+    mit = sorted((r.first_word, round(r.coverage, 2)) for r in got if r.license == "MIT")
     assert len(mit) == 2 and mit[0][1] < 1 == mit[1][1] and {r.doc_id for r in got if r.license == "all-rights-reserved"} == {4, 5}
     assert licenses.scan(docs.limit(0)).count() == 0
 
@@ -256,6 +332,36 @@ def test_license_scan_equals_unfiltered(spark):
         assert got.get(r.doc_id, set()) == want
 
 
+def plain_align(a, b):
+    """Patience alignment word by word, by recursion and a quadratic search for the longest increasing chain."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(0, 0)] + [(i + 1, j + 1) for i, j in plain_align(a[1:], b[1:])]
+    if a[-1] == b[-1]:
+        return [*plain_align(a[:-1], b[:-1]), (len(a) - 1, len(b) - 1)]
+    better = lambda c: (len(c), -c[-1][1])  # noqa: E731 - of equally long chains the one that ends first in the template
+    pairs = [(i, b.index(w)) for i, w in enumerate(a) if a.count(w) == 1 and b.count(w) == 1]
+    chains = []
+    for n, (_, j) in enumerate(pairs):
+        chains.append(max([c for c in chains if c[-1][1] < j], key=better, default=[]) + [pairs[n]])
+    if not chains:
+        return []
+    chain = max(chains, key=better)
+    out, ends = [], [(-1, -1), *chain, (len(a), len(b))]
+    for (i, j), (k, m) in itertools.pairwise(ends):
+        out += [(i + 1 + p, j + 1 + q) for p, q in plain_align(a[i + 1 : k], b[j + 1 : m])] + ([(k, m)] if k < len(a) or m < len(b) else [])
+    return out
+
+
+def test_alignment_against_plain_recursion():
+    rng = random.Random(4)
+    for size in (3, 8, 30):
+        for _ in range(150):
+            a, b = ([rng.choice("abcdefghijklmnopqrstuvwxyz"[:size]) for _ in range(rng.randint(0, 14))] for _ in range(2))
+            assert licenses.align(a, b) == plain_align(a, b)
+
+
 # ---- 7 suffix arrays
 
 
@@ -391,12 +497,12 @@ def test_zip_is_a_zip(tmp_path):
 
 
 def test_warc_round_trip(spark, tmp_path):
-    rows = [(1, "http://a/1", "<p>é</p>"), (2, None, ""), (3, "http://a/3", None), (3, "http://a/3", "again"), (None, "u", "x" * 3_000_000)]
+    rows = [(1, "http://a/1", "<p>é</p>"), (2, None, ""), (3, "http://a/3", None), (3, "http://a/3", "again"), (None, "u", "x" * 3_000_000), (4, "http://a/{x} {", "y"), (5, " http://a\r\nX: 1\t%0a", "z"), (6, "", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("package", F.lit("clash"))
     packages = zip_warc.write_packages(pages)
     got = zip_warc.records(packages).collect()
     key = lambda r: tuple(map(str, r))
-    assert sorted(((r.key, r.url, r.body) for r in got), key=key) == sorted(rows, key=key)
+    assert sorted(((r.key and int(r.key), r.url, r.body) for r in got), key=key) == sorted(rows, key=key)
     assert all(r.status == 200 and r.digest_ok and r.error is None for r in got)
     assert zip_warc.records(zip_warc.write_packages(pages.limit(0))).count() == 0
 
@@ -414,10 +520,29 @@ def test_warc_without_index_and_broken(spark, tmp_path):
     listed = zip_warc.directory(names).collect()
     assert sum(r.error is not None for r in listed) == 3 and [r.stored for r in listed if r.member == "archive/packed.warc"] == [False]
     got = zip_warc.records(names).collect()
-    assert sorted(r.key for r in got) == sorted([*range(5)] * 2) and all(r.body == f"body {r.key}" for r in got)
+    assert sorted(int(r.key) for r in got) == sorted([*range(5)] * 2) and all(r.body == f"body {r.key}" for r in got)
     assert zip_warc.parse_record(b"junk")["error"] and zip_warc.parse_record(zip_warc.plain(records[0])[:-30])["error"]
 
 
+def test_warc_keys_corrupt_members_and_thin_indexes(spark, tmp_path):
+    pages = spark.createDataFrame([("k 1", "u", "b"), ("\n", "v", "c")], "page_id string, url string, html string")
+    assert sorted((r.page_id, r.url, r.html) for r in zip_warc.read_back(pages).collect()) == [("\n", "v", "c"), ("k 1", "u", "b")]
+    records = [zip_warc.record_bytes(f"u{i}", i, f"body {i} " * 50) for i in range(6)]
+    hurt = records[2][:12] + bytes(255 - b for b in records[2][12:])
+    ends = [0, *itertools.accumulate(map(len, records))]
+    line = "u %d " + '{"offset": "%d", "length": "%d", "filename": "%s"}'
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("archive/hurt.warc.gz", b"".join([*records[:2], hurt, *records[3:]]))
+        z.writestr("archive/x/data.warc.gz", b"".join(records))  # two members of one base name
+        z.writestr("archive/y/data.warc.gz", b"".join(records))
+        told = [line % (n, ends[n], len(records[n]), "x/data.warc.gz") for n in (1, 4)] + [line % (9, 10**9, 5, "x/data.warc.gz"), "u 1 {", "u {{ {", "u 1 [1]", ""]
+        z.writestr("indexes/i.cdxj", "\n".join(told))
+        z.writestr("indexes/j.cdxj.gz", b"\x1f\x8b junk")
+    got = zip_warc.records(spark.createDataFrame([(str(tmp_path / "a.zip"),)], "package string")).collect()
+    fine = sorted(int(r.key) for r in got if r.error is None)
+    assert fine == sorted([0, 1, 3, 4, 5] + [*range(6)] * 2) and len([r for r in got if r.error]) == 1 and all(r.body == f"body {r.key} " * 50 for r in got if not r.error)
+
+
 # ---- 9 AVI
 
 
@@ -469,6 +594,23 @@ def test_clips(spark):
     assert not [r for r in got if r.page_id == 2] and media.clips(spark.createDataFrame([], "page_id long, media binary")).count() == 0
 
 
+def test_films_vary_and_large_frames_are_decoded_in_small_groups(spark, monkeypatch):
+    texts = [b"x" * n for n in (3, 12, 20, 60, 64, 4095, 4096, 30_001)]
+    made = media.films(texts)
+    for text, film in zip(texts, made, strict=True):
+        seconds, places = media.parse_avi(film)
+        assert seconds == 0.1 and len(places) == sum(media.scenes(len(text)))
+    assert len(media.scenes(30_001)) > len(media.scenes(3))
+    want = [[0, *itertools.accumulate(media.scenes(len(t)))][:-1] for t in texts]
+    parsed = [[film[a:b] for a, b in media.parse_avi(film)[1]] for film in made]
+    assert [starts for starts, _ in media.find_clips(parsed)] == want
+    monkeypatch.setattr(media, "PIXELS", 5000)
+    flat = [f for v in parsed for f in v]
+    sizes = [b - a for a, b in media.groups(flat)]
+    assert sum(sizes) == len(flat) and max(sizes) == 5000 // (32 * 24) and min(sizes) >= 1
+    assert [starts for starts, _ in media.find_clips(parsed)] == want
+
+
 # ---- 10 exact top-k
 
 
@@ -490,6 +632,28 @@ def test_topk_against_brute_force(spark):
     assert bond.topk(df.limit(0)).count() == 0 and bond.topk(df.where("vec_id in (1, 2)"), 7).count() == 2
 
 
+def test_topk_of_some_among_all_by_length(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"v{i:03}", rng.normal(size=3 + i % 3).round(1).tolist()) for i in range(90)]
+    df = spark.createDataFrame(rows, "name string, `v.x` array<double>").withColumns({"id": F.lit(1), "dims": F.lit(2), "g": F.lit("x")})
+    got = {}
+    for r in bond.topk(df, 4, "name", "v.x", 16, "substring(id, -1) = '0'").collect():
+        got.setdefault(r.id, {})[r["rank"]] = (r.neighbor_id, round(r.distance, 9))
+    assert set(got) == {n for n, _ in rows if n[-1] == "0"}
+    for name, v in rows:
+        if name in got:
+            others = sorted((round(sum((a - b) ** 2 for a, b in zip(v, w, strict=True)), 12), n) for n, w in rows if len(w) == len(v) and n != name)
+            assert [got[name][i] for i in range(1, 5)] == [(n, round(d**0.5, 9)) for d, n in others[:4]]
+
+
+def test_bounds_leave_few_candidates():
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 32)) * 3
+    x = (centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 32)) * 0.3).T
+    i, _, _ = bond.nearest(x[:, :100], x, 10, np.full(100, np.inf), np.arange(100))
+    assert len(i) < 100 * 4000 / 50  # what is left for double precision; the exact ten are among it
+
+
 # ---- queries and pipeline
 
 
