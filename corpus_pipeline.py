@@ -33,8 +33,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, piece, pack_id, position, tokens, segments, loss_tokens, start_token, end_token) of every document."""
-    return packing.pack(packing.documents_demand(docs)).withColumnRenamed("example_id", "doc_id")
+    """(doc_id, piece, pack_id, position, tokens, segments, loss_tokens, start_token, end_token) of every document.
+
+    All tokens of a document bear loss, so their limit is that of tokens. Null texts have none and still get a
+    place; rows without an id get none; rows of one id are one document.
+    """
+    limits = packing.LIMITS | {"loss_tokens": packing.LIMITS["tokens"]}
+    return packing.pack(packing.documents_demand(docs), limits).withColumnRenamed("example_id", "doc_id")
 
 
 STAGES = [
