@@ -7,20 +7,25 @@ from pyspark.sql import functions as F
 
 #: A token is a word with the white space before it, so joined tokens are the text again.
 TOKEN = r"[ \t\n\f\r]*[^ \t\n\f\r]+"
-_CURLY = "\u2018\u2019\u201c\u201d\u2013\u2014\u00a0"
+#: White space of any kind.
+SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 LINKS = "|".join((r"\bavailable free of charge\b", "@", "https?://", r"doi\.org"))
 BOILERPLATE = "|".join(("list of (?:tables|figures)", "table of contents", "keywords$", "abstract$", "acknowledgement", r"doi\.org", r"nist\.sp\.", "this publication is available"))
-_PLAIN = "''\"\"-- "
 
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at the ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(SPACES))
+
+
+def is_blank(text: Column) -> Column:
+    """Whether nothing but white space is in a text; stops at the first other character."""
+    return ~text.rlike(f"[^{SPACES}]")
 
 
 def clean(text: Column) -> Column:
     """No-break spaces to spaces, runs of spaces and tabs to one, ends stripped."""
-    return strip(F.regexp_replace(F.translate(text, "\u00a0", " "), "[ \t]+", " "))
+    return strip(F.regexp_replace(F.replace(text, F.lit("\u00a0"), F.lit(" ")), "[ \t]{2,}|\t", " "))
 
 
 def tokens(text: Column) -> Column:
@@ -35,10 +40,8 @@ def count_tokens(text: Column) -> Column:
 
 def normalise(text: Column) -> Column:
     """What of a text counts in comparisons: words in lower case, one space between."""
-    folded = F.translate(text, _CURLY, _PLAIN)
-    joined = F.lower(F.regexp_replace(folded, r"(?U)-\s*\n\s*", ""))
-    words = F.regexp_replace(joined, r"[^\p{L}\p{N}_\s]", " ")
-    return strip(F.regexp_replace(words, r"(?U)\s+", " "))
+    joined = F.lower(F.regexp_replace(text, f"[-\u2013\u2014][{SPACES}]*\n[{SPACES}]*", ""))
+    return F.btrim(F.regexp_replace(joined, r"[^\p{L}\p{N}_]+", " "), F.lit(" "))
 
 
 def words(text: Column) -> Column:

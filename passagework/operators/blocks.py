@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework.functions import text as T
+from passagework.functions.names import spare
 
 LABELS = {
     "title": "heading", "section_header": "heading", "paragraph": "paragraph", "text": "paragraph", "table": "table", "list_item": "list_item",
@@ -17,7 +18,7 @@ UNLEVELLED = 1_000_000
 
 def flat_blocks(pages: DataFrame, pattern: str = r"\n\s*\n+") -> DataFrame:
     """(doc_id, idx, type, text, page, level): paragraphs of (doc_id, page, text) between blank lines."""
-    pieces = pages.select("doc_id", "page", F.posexplode(F.split("text", pattern)).alias("pos", "piece")).withColumn("text", T.clean(F.col("piece"))).where("text <> ''")
+    pieces = pages.select("doc_id", "page", F.posexplode(F.split("text", pattern)).alias("pos", "piece")).where(~T.is_blank(F.col("piece"))).withColumn("text", T.clean(F.col("piece")))
     idx = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "pos")) - 1
     return pieces.select("doc_id", idx.alias("idx"), F.lit("paragraph").alias("type"), "text", "page", F.lit(None).cast("int").alias("level"))
 
@@ -42,12 +43,13 @@ def mark_furniture(blocks: DataFrame, page_counts: DataFrame) -> DataFrame:
     One aggregate by (doc, key) and a join on that key; nothing is collected.
     """
     short = F.col("page").isNotNull() & (F.length("text") <= FURNITURE_CHARS)
-    keyed = blocks.withColumn("key", F.when(short, T.furniture_key(F.col("text"))))
-    often = keyed.where("key is not null").groupBy("doc_id", "key").agg(F.countDistinct("page").alias("on_pages")).join(page_counts.select("doc_id", "page_count"), "doc_id")
+    key, mark = spare(blocks, "key"), spare(blocks, "furniture")
+    keyed = blocks.withColumn(key, F.when(short, T.furniture_key(F.col("text"))))
+    often = keyed.where(F.col(key).isNotNull()).groupBy("doc_id", key).agg(F.countDistinct("page").alias("on_pages")).join(page_counts.select("doc_id", "page_count"), "doc_id")
     least = F.greatest(F.lit(2), F.floor(F.col("page_count") * FURNITURE_SHARE))
-    found = often.where((F.col("page_count") >= FURNITURE_PAGES) & (F.col("on_pages") >= least)).select("doc_id", "key", F.lit(True).alias("furniture"))
-    joined = keyed.join(found, ["doc_id", "key"], "left")
-    return joined.select(*[(F.when(F.col("furniture"), "footer").otherwise(F.col("type")).alias("type") if c == "type" else F.col(c)) for c in blocks.columns])
+    found = often.where((F.col("page_count") >= FURNITURE_PAGES) & (F.col("on_pages") >= least)).select("doc_id", key, F.lit(True).alias(mark))
+    joined = keyed.join(found, ["doc_id", key], "left")
+    return joined.select(*[(F.when(F.col(mark), "footer").otherwise(F.col("type")).alias("type") if c == "type" else F.col(c)) for c in blocks.columns])
 
 
 def structure(blocks: DataFrame) -> DataFrame:
@@ -106,12 +108,22 @@ def triage(docs: DataFrame, blocks: DataFrame, least: int = 100) -> DataFrame:
 
 
 def triage_summary(rows: DataFrame) -> DataFrame:
-    """One row: documents, scanned, pages, chars, the upper median of pages, and a guess of tokens."""
-    upper = F.element_at(F.sort_array(F.collect_list("pages")), (F.floor(F.count("pages") / 2) + 1).cast("int"))
+    """One row: documents, scanned, pages, chars, the upper median of pages, and a guess of tokens.
+
+    The median is found from a count for each number of pages.
+    """
+    upper = F.expr("percentile_disc(0.5) within group (order by pages desc)").cast("long")
     return rows.agg(F.count("*").alias("docs"), F.count_if("scanned").alias("scanned"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), upper.alias("median_pages"), F.floor(F.sum("chars") / 4).alias("tokens_guess"))
 
 
-def compare_parsers(blocks: DataFrame) -> DataFrame:
-    """Per parser: documents, blocks, headings and documents with structure (R27), from blocks with ``parser``."""
+def compare_parsers(docs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Per parser: documents, pages, blocks, headings, documents with structure, failed ones and seconds a page.
+
+    ``docs`` is (parser, doc_id, page_count, seconds); a document without blocks has failed.
+    """
     per_doc = blocks.groupBy("parser", "doc_id").agg(F.count("*").alias("blocks"), F.count_if(F.col("type") == "heading").alias("headings"))
-    return per_doc.groupBy("parser").agg(F.count("*").alias("docs"), F.sum("blocks").alias("blocks"), F.sum("headings").alias("headings"), F.count_if(F.col("headings") > 0).alias("with_structure"))
+    joined = docs.join(per_doc, ["parser", "doc_id"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("blocks", "headings")})
+    return joined.groupBy("parser").agg(
+        F.count("*").alias("docs"), F.sum("page_count").alias("pages"), F.sum("blocks").alias("blocks"), F.sum("headings").alias("headings"), F.count_if(F.col("headings") > 0).alias("with_structure"),
+        F.count_if(F.col("blocks") == 0).alias("failed"), F.try_divide(F.sum("seconds"), F.sum("page_count")).alias("seconds_per_page"),
+    )

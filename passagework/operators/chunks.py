@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework.functions import text as T
+from passagework.functions.tokenizers import Tokenizer, Words
 from passagework.operators.blocks import document_text, path_before
 
 CHUNK, OVERLAP, CHILD, PARENT = 512, 0.125, 128, 2048
@@ -22,10 +23,10 @@ SCHEMA = (
 _TOKEN = re.compile(T.TOKEN)
 
 
-def fixed(blocks: DataFrame, chunk_tokens: int = CHUNK, overlap_ratio: float = OVERLAP, name: str | None = None) -> DataFrame:
+def fixed(blocks: DataFrame, chunk_tokens: int = CHUNK, overlap_ratio: float = OVERLAP, name: str | None = None, tokenizer: Tokenizer | None = None) -> DataFrame:
     """Windows of tokens over the whole text, each overlapping the one before.
 
-    All in the JVM: the tokens of a document are an array, and its windows are slices.
+    With the tokenizer of words all is in the JVM; a document's windows go through the explode, not its tokens.
     """
     if chunk_tokens <= 0:
         raise ValueError(f"chunk_tokens is {chunk_tokens}; it must be 1 at least")
@@ -33,11 +34,9 @@ def fixed(blocks: DataFrame, chunk_tokens: int = CHUNK, overlap_ratio: float = O
         raise ValueError(f"overlap_ratio is {overlap_ratio}; it must be in [0, 1)")
     stride = chunk_tokens - int(chunk_tokens * overlap_ratio)
     strategy = name or ("fixed-no-overlap" if overlap_ratio == 0 else "fixed")
-    toks = document_text(blocks).select(F.col("doc_id").cast("string").alias("doc_id"), T.tokens(F.col("text")).alias("t"))
-    last = F.greatest(F.lit(0), F.ceil((F.size("t") - chunk_tokens) / stride)).cast("int")
-    windows = toks.where(F.size("t") > 0).select("doc_id", "t", F.explode(F.sequence(F.lit(0), last)).alias("i"))
-    text = T.strip(F.array_join(F.slice("t", F.col("i") * stride + 1, chunk_tokens), ""))
-    out = windows.select("doc_id", F.col("i").cast("long").alias("ord"), text.alias("raw_text")).where("raw_text <> ''")
+    cut = (tokenizer or Words()).windows(F.col("text"), chunk_tokens, stride)
+    windows = document_text(blocks).select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(cut).alias("i", "raw_text"))
+    out = windows.select("doc_id", F.col("i").cast("long").alias("ord"), "raw_text").where("raw_text <> ''")
     null = F.lit(None).cast("int")
     return out.select(
         "doc_id", F.concat_ws("::", "doc_id", F.lit(strategy), F.col("ord").cast("string")).alias("chunk_id"), "ord", "raw_text",

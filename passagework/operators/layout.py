@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework.functions import text as T
+from passagework.operators.blocks import label_type
 
 LINE, SPACE, PARAGRAPH = 0.5, 0.25, 1.8
-LEVELS, LARGER, KEPT = 4, 1.15, 0.90
+LEVELS, LARGER, KEPT, MODEL_KEPT = 4, 1.15, 0.90, 0.70
 
 
 def reading_order(fragments: DataFrame) -> DataFrame:
@@ -93,3 +94,30 @@ def with_fallback(blocks: DataFrame, flat: DataFrame, plain: DataFrame, least: f
     """``blocks`` of documents that kept enough text, ``flat`` blocks of the others."""
     kept = retained(blocks, plain, least).where("kept").select("doc_id")
     return blocks.join(kept, "doc_id", "left_semi").unionByName(flat.join(kept, "doc_id", "left_anti"))
+
+
+def model_blocks(items: DataFrame) -> DataFrame:
+    """(doc_id, idx, type, text, page, level): blocks of a layout model's items (doc_id, n, label, depth, text, pages).
+
+    A label gives the type, unknown ones "other"; a heading's level is its depth from 1; the page is the first
+    place of an item, or null (R19). Items without text give no block. A model is a plug-in of ``sources.files``,
+    or anything that makes such rows.
+    """
+    idx = F.row_number().over(Window.partitionBy("doc_id").orderBy("n")) - 1
+    kind = label_type(F.lower(F.coalesce("label", F.lit(""))))
+    made = items.where(~T.is_blank(F.col("text"))).withColumn("type", kind)
+    level = F.when(F.col("type") == "heading", F.col("depth") + 1).cast("int")
+    return made.select("doc_id", idx.alias("idx"), "type", T.clean(F.col("text")).alias("text"), F.get("pages", F.lit(0)).alias("page"), level.alias("level"))
+
+
+def model_state(blocks: DataFrame, plain: DataFrame, least: float = MODEL_KEPT) -> DataFrame:
+    """(doc_id, chars, plain_chars, parse_failed, failure_reason): a model that loses too much text has failed.
+
+    Its blocks are kept all the same: what is there may be searched, and the reason stays with the document.
+    """
+    out = retained(blocks, plain, least)
+    none, short = F.col("chars") == 0, ~F.col("kept") & (F.col("plain_chars") > 0)
+    share = F.round(F.try_divide(100 * F.col("chars"), F.col("plain_chars"))).cast("int")
+    lost = F.concat(F.lit("only "), share.cast("string"), F.lit(" % of the text is in the layout's blocks ("), F.col("chars").cast("string"), F.lit(" of "), F.col("plain_chars").cast("string"), F.lit(" characters)"))
+    reason = F.when(none, "the layout has no text").when(short, lost).otherwise("")
+    return out.select("doc_id", "chars", "plain_chars", (none | short).alias("parse_failed"), reason.alias("failure_reason"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework.functions import text as T
+from passagework.functions.names import spare
+from passagework.sources.files import literal_list
 
 MIN_SPAN, PER_GROUP = 80, 15
 MIN_CHARS, MAX_CHARS, AFTER_PAGE = 450, 1200, 4
@@ -19,7 +21,8 @@ def long_spans(spans: Column, least: int = MIN_SPAN) -> Column:
 def first_per_group(rows: DataFrame, group: str, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows of each group in a seeded order that any engine can repeat: MD5 of key and seed."""
     order = Window.partitionBy(group).orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), key)
-    return rows.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= n).drop("__n")
+    nth = spare(rows, "n")
+    return rows.withColumn(nth, F.row_number().over(order)).where(F.col(nth) <= n).drop(nth)
 
 
 def identity(title: Column, parties: Column) -> Column:
@@ -30,6 +33,11 @@ def identity(title: Column, parties: Column) -> Column:
     return F.when(F.size(names) == 0, name).when(name == "", who).otherwise(F.concat(name, F.lit(" between "), who))
 
 
+def identity_of_cells(title: Column, parties: Column) -> Column:
+    """The same from cells that hold list literals, of which a title is the first entry (Q01, Q02)."""
+    return identity(F.get(literal_list(title), F.lit(0)), literal_list(parties))
+
+
 def question_set(wide: DataFrame, categories: dict[str, str], per_category: int = PER_GROUP) -> DataFrame:
     """(category, doc_id, question, base_question, gold) from a column of spans a category (Q03).
 

@@ -32,8 +32,8 @@ def page_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 def source_blocks(spark: SparkSession, d: str) -> DataFrame:
     """A source is a document, its documents are pages, their lines are blocks."""
-    docs = table(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("pos", "t"))
-    return docs.select("doc_id", "page", "pos", T.clean(F.col("t")).alias("text"), F.lit("paragraph").alias("type")).where("text <> ''")
+    docs = table(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("pos", "t")).where(~T.is_blank(F.col("t")))
+    return docs.select("doc_id", "page", "pos", T.clean(F.col("t")).alias("text"), F.lit("paragraph").alias("type"))
 
 
 def fragments(spark: SparkSession, d: str) -> DataFrame:
@@ -50,9 +50,31 @@ def fragments(spark: SparkSession, d: str) -> DataFrame:
 
 def line_spans(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, page, seq, size, text): the documents' lines as spans, sized as in ``fragments``."""
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("li", "line"))
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("li", "line")).where(~T.is_blank(F.col("line")))
     size = F.when(F.col("li") % 9 == 0, 18.0).when(F.col("li") % 9 == 4, 14.0).otherwise(10.0)
-    return lines.select("doc_id", (F.floor(F.col("li") / 40) + 1).cast("int").alias("page"), F.col("li").alias("seq"), size.alias("size"), T.clean(F.col("line")).alias("text")).where("text <> ''")
+    return lines.select("doc_id", (F.floor(F.col("li") / 40) + 1).cast("int").alias("page"), F.col("li").alias("seq"), size.alias("size"), T.clean(F.col("line")).alias("text"))
+
+
+REGIONS = ("title", "section_header", "text", "list_item", "page_header", "chart")
+
+
+def layout_items(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, n, label, depth, text, pages): the documents' lines as a layout model would give them.
+
+    Each seventh line has no place; of German documents every second line is a picture, without its text.
+    """
+    lines = table(spark, d, "documents").where("doc_id is not null").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    kinds = F.array(*map(F.lit, REGIONS))
+    lost = (F.coalesce("lang", F.lit("")) == "de") & (F.col("n") % 2 == 1)
+    page = (F.floor(F.col("n") / 40) + 1).cast("int")
+    pages = F.when(F.col("n") % 7 == 3, F.array().cast("array<int>")).otherwise(F.array(page, page + 1))
+    label = F.when(lost, "picture").otherwise(F.element_at(kinds, (F.col("n") % len(REGIONS) + 1).cast("int")))
+    return lines.select("doc_id", "n", label.alias("label"), (F.col("n") % 3).alias("depth"), F.when(~lost, F.col("line")).alias("text"), pages.alias("pages"))
+
+
+def plain_lengths(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where("doc_id is not null and text is not null")
+    return docs.select("doc_id", F.length(T.clean(F.col("text"))).cast("long").alias("plain_chars"))
 
 
 def fixed_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -256,6 +278,15 @@ blocks AS (
     text, NULL::INT AS page, CASE WHEN tag LIKE 'h%' THEN substr(tag, 2, 1)::INT END AS level
   FROM texts0 WHERE text <> '')"""
 
+ITEMS = rf"""
+item0 AS (SELECT doc_id, lang, unnest(ls) AS line, unnest(range(len(ls)))::INT AS n FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL)),
+items AS (
+  SELECT doc_id, n, coalesce(lang, '') = 'de' AND n % 2 = 1 AS lost, {clean("line")} AS text, n % 3 AS depth, CASE WHEN n % 7 <> 3 THEN n // 40 + 1 END AS page,
+    ['heading', 'heading', 'paragraph', 'list_item', 'footer', 'other'][n % 6 + 1] AS type FROM item0),
+iblocks AS (
+  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1)::INT AS idx, type, text, page::INT AS page, CASE WHEN type = 'heading' THEN depth + 1 END::INT AS level
+  FROM items WHERE NOT lost AND text <> '')"""
+
 SPANS = rf"""
 lines0 AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS li FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
 spans AS (

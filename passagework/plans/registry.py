@@ -5,6 +5,7 @@ Names begin with the id of the operator that they show. Each runs over whole tab
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from passagework.functions import text as T
 from passagework.functions import vectors as V
+from passagework.functions.tokenizers import BytePairs
 from passagework.operators import blocks as B
 from passagework.operators import chunks as C
 from passagework.operators import enrich as E
@@ -23,6 +25,7 @@ from passagework.operators import search as S
 from passagework.plans import bindings as D
 from passagework.session import fresh_path, table
 from passagework.sources import files
+from passagework.sources.corpora import Corpora
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,7 +53,7 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 @query("SELECT item_id, text, length(text)::BIGINT AS chars FROM benchmark")
 def s04_json_round_trip(spark: SparkSession, d: str) -> DataFrame:
     path = fresh_path(spark, "json")
-    table(spark, d, "benchmark").agg(F.to_json(F.collect_list(F.struct("item_id", "text")))).write.text(path)
+    files.write_json(table(spark, d, "benchmark").select("item_id", "text"), path)
     return files.read_json(spark, path, "item_id bigint, text string").withColumn("chars", F.length("text").cast("long"))
 
 
@@ -69,6 +72,25 @@ def s05_index_store(spark: SparkSession, d: str) -> DataFrame:
     return files.read_index(spark, path).groupBy("corpus", "strategy").agg(F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"))
 
 
+@query(f"""WITH {D.FLAT}, {D.HTML} SELECT 'documents' AS corpus, count(*) AS blocks, count(DISTINCT doc_id) AS docs FROM flat
+UNION ALL SELECT 'pages', count(*), count(DISTINCT doc_id) FROM blocks""")
+def s02_corpora(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of named corpora, each by its own parser."""
+    corpora = Corpora(spark)
+    corpora.add("documents", d, D.flat)
+    corpora.add("pages", d, D.page_blocks)
+    return corpora.blocks().groupBy("corpus").agg(F.count("*").alias("blocks"), F.countDistinct("doc_id").alias("docs"))
+
+
+@query("WITH r AS (SELECT lang, count(*) AS docs, sum(length(text))::BIGINT AS chars FROM documents GROUP BY lang) SELECT *, false AS reranked FROM r UNION ALL SELECT *, true FROM r")
+def s08_results_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of two runs as JSON, one of them reranked by its name, and read again."""
+    rows = table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"))
+    folder, schema = fresh_path(spark, "results"), "lang string, docs bigint, chars bigint"
+    parts = [files.read_json(spark, files.write_results(rows, folder, "documents", again), schema).withColumn("reranked", F.lit(again)) for again in (False, True)]
+    return parts[0].unionByName(parts[1])
+
+
 # ---- parsing
 
 
@@ -100,6 +122,15 @@ def r06_reading_order(spark: SparkSession, d: str) -> DataFrame:
     return L.reading_order(D.fragments(spark, d)).select("doc_id", "page", "n", "text")
 
 
+@query(f"WITH {_FRAGMENTS} SELECT doc_id::VARCHAR AS doc_id, page, (row_number() OVER (PARTITION BY doc_id ORDER BY li, j) - 1)::INT AS seq, size, top::DOUBLE AS top, text FROM fragments WHERE doc_id IS NOT NULL")
+def r05_fragments(spark: SparkSession, d: str) -> DataFrame:
+    """Fragments of files, decoded by a plug-in; the files here are JSON, with sizes of 1 and all scale in the matrix."""
+    parts = F.sort_array(F.collect_list(F.struct("seq", "page", F.lit(1.0).alias("size"), F.col("size").alias("scale"), "left", "bottom", "right", "top", "text")))
+    made = D.fragments(spark, d).where("doc_id is not null").groupBy("doc_id").agg(F.to_json(parts).cast("binary").alias("content"))
+    found = files.decode_fragments(made.select(F.concat(F.lit("/files/"), F.col("doc_id").cast("string"), F.lit(".json")).alias("path"), "content"), lambda path, content: (1, json.loads(content)))
+    return found.where("failure_reason is null").select("doc_id", "page", "seq", "size", "top", "text")
+
+
 _LINES = f"""{_FRAGMENTS},
 lines AS (
   SELECT doc_id, page, li, any_value(size) AS size, any_value(top) - any_value(size) / 2 AS centre, string_agg(CASE WHEN j > 0 AND (j - 1) % 3 <> 0 THEN ' ' ELSE '' END || text, '' ORDER BY j) AS text
@@ -149,9 +180,26 @@ def r14_retention_fallback(spark: SparkSession, d: str) -> DataFrame:
     return L.with_fallback(found.select(names), D.flat(spark, d).withColumn("structured", F.lit(False)).select(names), plain)
 
 
-@query("SELECT event_type AS label, CASE event_type WHEN 'title' THEN 'heading' WHEN 'text' THEN 'paragraph' ELSE 'other' END AS type, count(*) AS n FROM events GROUP BY ALL")
+@query(f"WITH {D.ITEMS} SELECT * FROM iblocks")
+def r16_layout_model(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of a layout model's items: types by label, levels by depth, the first page."""
+    return L.model_blocks(D.layout_items(spark, d))
+
+
+@query(f"""WITH {D.ITEMS},
+plain AS (SELECT doc_id, length({D.clean("text")})::BIGINT AS plain_chars FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+got AS (SELECT doc_id, sum(length(text))::BIGINT AS chars FROM iblocks GROUP BY doc_id),
+s AS (SELECT doc_id, coalesce(chars, 0) AS chars, plain_chars FROM plain LEFT JOIN got USING (doc_id))
+SELECT *, chars = 0 OR chars < plain_chars * 0.7::DOUBLE AS parse_failed,
+  CASE WHEN chars = 0 THEN 'the layout has no text' WHEN chars < plain_chars * 0.7::DOUBLE THEN 'only ' || round(100 * chars / plain_chars)::INT || ' % of the text is in the layout''s blocks (' || chars || ' of ' || plain_chars || ' characters)' ELSE '' END AS failure_reason FROM s""")
+def r18_layout_retention(spark: SparkSession, d: str) -> DataFrame:
+    """What the model lost, by the reason; blocks stay (r16)."""
+    return L.model_state(L.model_blocks(D.layout_items(spark, d)), D.plain_lengths(spark, d))
+
+
+@query(f"WITH {D.ITEMS} SELECT label, type, count(*) AS n FROM (SELECT CASE WHEN lost THEN 'picture' ELSE ['title', 'section_header', 'text', 'list_item', 'page_header', 'chart'][n % 6 + 1] END AS label, CASE WHEN lost THEN 'other' ELSE type END AS type FROM items) GROUP BY ALL")
 def r17_label_map(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select(F.col("event_type").alias("label"), B.label_type(F.col("event_type")).alias("type")).groupBy("label", "type").agg(F.count("*").alias("n"))
+    return D.layout_items(spark, d).select("label", B.label_type(F.col("label")).alias("type")).groupBy("label", "type").agg(F.count("*").alias("n"))
 
 
 @query(rf"""WITH l AS (SELECT source AS doc_id, doc_id AS page, unnest(string_split(text, chr(10))) AS t FROM documents),
@@ -212,12 +260,19 @@ def r26_triage_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {D.SPANS}, {D.FLAT},
 b AS (SELECT 'lines' AS parser, doc_id, type FROM tblocks UNION ALL SELECT 'flat', doc_id, 'paragraph' FROM flat),
-p AS (SELECT parser, doc_id, count(*) AS blocks, count(*) FILTER (type = 'heading') AS headings FROM b GROUP BY ALL)
-SELECT parser, count(*) AS docs, sum(blocks)::BIGINT AS blocks, sum(headings)::BIGINT AS headings, count(*) FILTER (headings > 0) AS with_structure FROM p GROUP BY parser""")
+p AS (SELECT parser, doc_id, count(*) AS blocks, count(*) FILTER (type = 'heading') AS headings FROM b GROUP BY ALL),
+d AS (SELECT parser, doc_id, 1 + length(text) // 3000 AS page_count, length(text) / 8192.0::DOUBLE AS seconds FROM documents, (VALUES ('lines'), ('flat')) v(parser) WHERE doc_id IS NOT NULL AND text IS NOT NULL)
+SELECT parser, count(*) AS docs, sum(page_count)::BIGINT AS pages, coalesce(sum(blocks), 0)::BIGINT AS blocks, coalesce(sum(headings), 0)::BIGINT AS headings, count(*) FILTER (headings > 0) AS with_structure,
+  count(*) FILTER (blocks IS NULL) AS failed, round(sum(seconds) / sum(page_count), 6) AS seconds_per_page FROM d LEFT JOIN p USING (parser, doc_id) GROUP BY parser""")
 def r27_parser_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """Two parsers of the documents; as a clock repeats nothing, a character counts 1/8192 s."""
     names = ["doc_id", "type"]
     lines = L.typed_blocks(D.line_spans(spark, d)).select(F.lit("lines").alias("parser"), *names)
-    return B.compare_parsers(lines.unionByName(D.flat(spark, d).select(F.lit("flat").alias("parser"), *names)))
+    blocks = lines.unionByName(D.flat(spark, d).select(F.lit("flat").alias("parser"), *names))
+    docs = table(spark, d, "documents").where("doc_id is not null and text is not null")
+    size = F.length("text")
+    both = docs.select(F.explode(F.array(F.lit("lines"), F.lit("flat"))).alias("parser"), "doc_id", (1 + F.floor(size / 3000)).alias("page_count"), (size / 8192).alias("seconds"))
+    return rounded(B.compare_parsers(both, blocks), "seconds_per_page")
 
 
 # ---- chunks
@@ -228,6 +283,13 @@ def k02_count_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.count_tokens(F.col("text")).cast("long").alias("n_tokens"))
 
 
+@query()
+def k01_bpe_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of documents by the byte-level plug-in, and the chunks that it cuts; tests hold both against the library."""
+    plug = BytePairs(spark)
+    return table(spark, d, "documents").select("doc_id", plug.count(F.col("text")).alias("n_tokens"), F.size(plug.windows(F.col("text"), C.CHUNK, C.CHUNK)).alias("windows"))
+
+
 _FIXED = "SELECT chunk_id, ord, text AS raw_text, strategy FROM chunks WHERE strategy = '{}'"
 
 
@@ -359,6 +421,13 @@ def v04_token_budget(spark: SparkSession, d: str) -> DataFrame:
     return S.budgeted(D.hits(spark, d, S.DEEPEST)).select("strategy", "qid", "chunk_id", "rank", F.col("tokens").cast("long").alias("tokens"))
 
 
+@query("SELECT vec_id AS chunk_id, len(embedding)::INT AS dims FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL")
+def v02_aligned(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks and vectors that are checked to be one to one."""
+    v = D.vectors(spark, d).select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return S.aligned(v.select("chunk_id"), v).select("chunk_id", F.size("embedding").alias("dims"))
+
+
 @query(f"WITH {D.CHUNKS} SELECT strategy, count(*) AS chunks, 64 AS dims, count(*) * 256 AS bytes FROM chunks GROUP BY strategy")
 def v06_index_size(spark: SparkSession, d: str) -> DataFrame:
     return S.index_size(D.two_strategies(spark, d))
@@ -453,8 +522,9 @@ def m12_compare_rerankers(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH g AS (SELECT source AS doc_id, string_split(text, chr(10)) AS spans, lang AS category FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, category, list_filter(list_transform(spans, lambda s: trim(s)), lambda s: length(s) >= 80) AS spans FROM g""")
 def q01_long_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Long spans of cells that hold list literals; a document's lines are such a cell."""
     docs = table(spark, d, "documents").where("text is not null")
-    return docs.select(F.col("source").alias("doc_id"), F.col("lang").alias("category"), Q.long_spans(F.split("text", "\n")).alias("spans"))
+    return docs.select(F.col("source").alias("doc_id"), F.col("lang").alias("category"), Q.long_spans(files.literal_list(F.to_json(F.split("text", "\n")))).alias("spans"))
 
 
 @query("""WITH l AS (SELECT s_suppkey, s_name, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
@@ -463,7 +533,7 @@ SELECT s_suppkey, CASE WHEN len(w) = 0 THEN trim(s_name) WHEN trim(s_name) = ''
 def q02_identity(spark: SparkSession, d: str) -> DataFrame:
     where = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = table(spark, d, "supplier").join(where, F.col("s_nationkey") == F.col("n_nationkey"))
-    return rows.select("s_suppkey", Q.identity(F.col("s_name"), F.array("s_name", "n_name", "r_name")).alias("identity"))
+    return rows.select("s_suppkey", Q.identity_of_cells(F.to_json(F.array("s_name")), F.to_json(F.array("s_name", "n_name", "r_name"))).alias("identity"))
 
 
 _WIDE = "w AS (SELECT doc_id, source AS identity, lang, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: length(s) >= 80) AS gold FROM documents)"
@@ -538,6 +608,17 @@ def c04_get_or_compute(spark: SparkSession, d: str) -> DataFrame:
     return store.get_or_compute(docs, "chars", params, chars)
 
 
+@query("SELECT content_hash, chars FROM (SELECT DISTINCT left(sha256(text), 32) AS content_hash, length(text)::BIGINT AS chars FROM documents WHERE text IS NOT NULL) ORDER BY content_hash LIMIT 150")
+def c06_resume_batches(spark: SparkSession, d: str) -> DataFrame:
+    """What two runs of a hundred and of fifty contents have stored, the first ones by hash."""
+    store, params = R.Store(spark, fresh_path(spark, "store")), R.hash_params(step="chars")
+    docs = R.with_hash(table(spark, d, "documents").where("text is not null"), "text")
+    chars = lambda rows: rows.select("content_hash", F.length("text").cast("long").alias("chars"))
+    for most in (100, 50):
+        store.next_batch(docs, "chars", params, chars, most)
+    return store.get("chars", params)
+
+
 @query(f"WITH {D.CHUNKS}, p AS ({ORACLES['r03_parse_state']}) SELECT (SELECT count(*) FROM p) AS docs, (SELECT count(*) FROM p WHERE parse_failed) AS failed, (SELECT coalesce(list(doc_id || ': ' || failure_reason ORDER BY doc_id::VARCHAR || ': ' || failure_reason), []) FROM p WHERE parse_failed) AS failures, count(*) AS chunks, 0::BIGINT AS degraded, 0::BIGINT AS expanded, 0::BIGINT AS enriched, sum(tokens)::BIGINT AS tokens FROM chunks WHERE strategy = 'fixed'")
 def a05_index_report(spark: SparkSession, d: str) -> DataFrame:
     blocks = D.flat(spark, d)

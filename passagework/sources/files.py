@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as St
 
+from passagework.functions import text as T
+
 BLOCKS = "doc_id string, source_path string, page_count int, idx int, type string, text string, page int, level int, failure_reason string"
 
 
@@ -57,9 +59,58 @@ def decode(files: DataFrame, parser: Callable[[str, bytes], tuple[int, list[dict
     return files.select("path", "content").mapInPandas(run, BLOCKS)
 
 
+FRAGMENTS = "doc_id string, source_path string, page_count int, page int, seq int, size double, left double, bottom double, right double, top double, text string, failure_reason string"
+
+
+def decode_fragments(files: DataFrame, parser: Callable[[str, bytes], tuple[int, list[dict[str, Any]]]], partitions: int | None = None) -> DataFrame:
+    """Positioned fragments of text by a parser plug-in (R05), for ``operators.layout``.
+
+    ``parser(path, content)`` gives the page count and, in any order, fragments with page, size, scale (of the
+    matrix; 1 where there is none), left, bottom, right, top and text. The size is that on the page, to a tenth.
+    Fragments without text are left out; a file that can't be read, or has none, gives a row with its reason.
+    """
+    columns = [part.split()[0] for part in FRAGMENTS.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                name = path.rpartition("/")[2].rpartition(".")[0]
+                try:
+                    count, found = parser(path, bytes(content))
+                    held = [(name, path, count, f["page"], i, round(f["size"] * abs(f.get("scale", 1.0)), 1), f["left"], f["bottom"], f["right"], f["top"], f["text"], None) for i, f in enumerate(found) if f["text"] and f["text"].strip()]
+                    reason = None if held else "no extractable text"
+                except Exception as error:  # noqa: BLE001 - any failure of a decoder is a row
+                    count, held, reason = 0, [], f"{type(error).__name__}: {error}"
+                rows += held or [(name, path, count, *[None] * 8, reason)]
+            yield pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in ("page", "seq")})
+
+    files = files.repartition(partitions) if partitions else files
+    return files.select("path", "content").mapInPandas(run, FRAGMENTS).withColumn("text", T.clean(F.col("text")))
+
+
+def results_path(folder: str, corpus: str, reranked: bool = False) -> str:
+    return f"{folder.rstrip('/')}/{corpus}{'-rerank' if reranked else ''}.json"
+
+
+def write_results(rows: DataFrame, folder: str, corpus: str, reranked: bool = False) -> str:
+    """A run's rows as JSON, by corpus and whether they were reranked (S08); gives the path."""
+    path = results_path(folder, corpus, reranked)
+    write_json(rows, path)
+    return path
+
+
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON array of records by an explicit schema."""
-    return spark.read.schema(schema).option("multiLine", "true").json(path)
+    """JSON arrays of records, in files below ``path``, by an explicit schema."""
+    return spark.read.schema(schema).option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
+
+
+def write_json(rows: DataFrame, path: str, per_file: int = 100_000) -> None:
+    """``rows`` as JSON arrays of about ``per_file`` records, each in a folder of its own below ``path``."""
+    parts = max(1, -(-rows.count() // per_file))
+    record = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    keyed = rows.select(record.alias("r"), F.pmod(F.xxhash64(F.to_json(record)), F.lit(parts)).alias("part"))
+    keyed.groupBy("part").agg(F.to_json(F.collect_list("r")).alias("value")).write.partitionBy("part").text(path)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -84,15 +135,13 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 @F.pandas_udf(St.ArrayType(St.StringType()))
 def literal_list(cells: pd.Series) -> pd.Series:
-    """Strings of a cell that holds a Python list literal; a plain text is one string, a null none (Q01)."""
+    """Strings of a cell that holds a Python list literal, stripped, without empty ones; anything else has none (Q01)."""
 
     def one(cell: str | None) -> list[str]:
-        if cell is None or not cell.strip():
-            return []
         try:
-            found = ast.literal_eval(cell)
-        except (SyntaxError, ValueError):
-            found = cell
-        return list(map(str, found)) if isinstance(found, list | tuple) else [str(found)]
+            found = ast.literal_eval(cell.strip()) if cell else None
+        except (SyntaxError, ValueError, MemoryError, RecursionError):
+            found = None
+        return [x for x in (str(x).strip() for x in found) if x] if isinstance(found, list) else []
 
     return cells.map(one)

@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from passagework import cli, config
 
 
@@ -10,6 +12,12 @@ def test_cost_and_query(spark, tmp_path):
     assert {r.strategy for r in cli.cost(blocks, ["fixed", "parent-doc"], "m").collect()} == {"fixed", "parent-doc", "TOTAL"}
     first = cli.ask(blocks, "when are invoices due, net thirty?", ["parent-doc"], 2).first()
     assert "Invoices" in first.preview and first["rank"] == 0
+    flat = cli.read_folder(spark, f"file://{tmp_path}", ".txt", None, "flat")
+    assert {r.type for r in flat.collect()} == {"paragraph"} and cli.read_folder(spark, f"file://{tmp_path}", ".txt", None, "passagework.cli:flat_parser").count() == flat.count()
+    assert cli.ask(blocks, "x", ["fixed"], 1, lambda texts: [[1.0] for _ in texts]).first().score == 1
+    for arguments in (["query", str(tmp_path), "q"], ["cost", str(tmp_path), "--parser", "other"]):
+        with pytest.raises(SystemExit):
+            cli.run(arguments)
 
 
 def test_env(tmp_path, monkeypatch):

@@ -16,7 +16,9 @@ from passagework.operators import metrics as M
 from passagework.operators import questions as Q
 from passagework.operators import reuse as R
 from passagework.operators import search as S
+from passagework.functions.tokenizers import BytePairs, Words, _encoding
 from passagework.sources import files
+from passagework.sources.corpora import Corpora
 from passagework.streaming.ingest import ingest
 
 BLOCK = "doc_id string, idx int, type string, text string, page int, level int"
@@ -229,7 +231,9 @@ def test_questions(spark):
     got = Q.question_set(wide, {"a": "What?", "b": "Who?"}).collect()
     assert 14 <= len(got) <= 15 and {r.category for r in got} == {"a"}
     cells = spark.createDataFrame([("['a', 'b']",), ("plain",), (None,), ("[1, ",)], "c string").select(files.literal_list(F.col("c"))).collect()
-    assert [r[0] for r in cells] == [["a", "b"], ["plain"], [], ["[1, "]]
+    assert [r[0] for r in cells] == [["a", "b"], [], [], []]
+    cells = spark.createDataFrame([("['Deed', 'x']", "['A B Company', ' ', 'MA', 'C D Limited']"), ("no list", None)], "t string, p string")
+    assert [r[0] for r in cells.select(Q.identity_of_cells(F.col("t"), F.col("p"))).collect()] == ["Deed between A B Company and C D Limited", ""]
 
 
 def test_enrich(spark):
@@ -252,16 +256,16 @@ def test_enrich(spark):
 def test_spend_guard(tmp_path):
     g = R.SpendGuard(str(tmp_path / "l.json"), 1, 2)
     g.check(0.5)
-    with pytest.raises(E.BudgetError, match="per-run ceiling"):
+    with pytest.raises(E.BudgetError, match="than a run may cost"):
         g.check(5)
     for _ in range(2):
         g.record(0.9, 100)
         g.commit()
     assert g.history()["runs"] == 2 and g.history()["total_usd"] == 1.8
-    with pytest.raises(E.BudgetError, match="total ceiling"):
+    with pytest.raises(E.BudgetError, match="than is left"):
         g.check(0.9)
     g.record(0.6, 1)
-    with pytest.raises(E.BudgetError, match="Stopped mid-run"):
+    with pytest.raises(E.BudgetError, match="ends here"):
         g.record(0.6, 1)
     (tmp_path / "l.json").write_text("not json")
     with pytest.raises(E.BudgetError, match="unreadable"):
@@ -283,6 +287,93 @@ def test_store(spark, tmp_path):
     assert seen == [2, 0] and store.hit_rate(rows, "s", key) == 1 and store.get("s", "other") is None
 
 
+def test_store_drops_what_is_broken_and_goes_on_in_batches(spark, tmp_path):
+    rows = R.with_hash(spark.createDataFrame([(f"text {i}",) for i in range(9)] + [("text 1",)], "text string"), "text")
+    store, compute = R.Store(spark, f"file://{tmp_path}"), lambda df: df.select("content_hash", F.length("text").alias("n"))
+    assert store.size_bytes() == 0 and store.next_batch(rows, "s", "p", compute, 0) == (9, 9)
+    assert store.next_batch(rows, "s", "p", compute, 4) == (9, 5) and store.next_batch(rows, "s", "p", compute, 0) == (5, 5)
+    assert store.next_batch(rows, "s", "p", compute, 50) == (5, 0) and store.get("s", "p").count() == 9 and store.size_bytes() > 0
+    file = max(tmp_path.rglob("*.parquet"), key=lambda f: f.stat().st_mtime)
+    held = file.read_bytes()
+    file.write_bytes(held[: len(held) // 2])
+    for crc in tmp_path.rglob(".*.crc"):
+        crc.unlink()
+    assert store.get("s", "p").count() < 9 and store.remove_corrupt("s", "p") == 1 and not file.exists()
+    assert store.get_or_compute(rows, "s", "p", compute).count() == 9 and R.Store(spark, f"file://{tmp_path}", enabled=False).get("s", "p") is None
+
+
+def test_workers_and_progress(spark, monkeypatch):
+    assert R.worker_count(6, 8, 8) == 1 and R.worker_count(1.5, 8, 64) == 7 and R.worker_count() >= 1
+    monkeypatch.setenv("PASSAGEWORK_WORKERS", "3")
+    assert R.worker_count(6, 8, 8) == 3
+    assert R.progress_line(0, 10, 5) == "0 of 10 (0 %), time unknown" and R.progress_line(4, 10, 8) == "4 of 10 (40 %), 12 s left"
+    assert R.running_tasks(spark) == (0, 0)
+
+
+def test_corpora_by_name(spark):
+    made = Corpora(spark)
+    for name in ("a", "b"):
+        made.add(name, f"place of {name}", lambda s, place: make_blocks(s, ("paragraph", place, 1, None)))
+    assert {(r.corpus, r.text) for r in made.blocks().collect()} == {("a", "place of a"), ("b", "place of b")} and made.blocks("b").count() == 1
+    with pytest.raises(ValueError, match="no corpus c; there are a, b"):
+        made.blocks("c")
+    with pytest.raises(ValueError, match="already"):
+        made.add("a", "", None)
+
+
+def test_byte_pairs_cut_as_the_library_does(spark):
+    plug = BytePairs(spark)
+    enc = _encoding(plug.sent.value, plug.pattern)
+    texts = ["some words, here; 12 of them\n\n and more " * 9, "é👍", "", None, "   "]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(plug.count(F.col("t")), plug.windows(F.col("t"), 10, 7), Words().windows(F.col("t"), 10, 7)).collect()
+    for t, r in zip(texts, got, strict=True):
+        ids = enc.encode_ordinary(t or "")
+        want, at = [], 0
+        while ids:
+            want.append(enc.decode(ids[at : at + 10]).strip())
+            at += 7
+            if at >= len(ids) or at - 7 + 10 >= len(ids):
+                break
+        assert r[0] == len(ids) and r[1] == want
+    assert got[0][2][0] == " ".join("some words, here; 12 of them and more some words,".split()).replace("them and", "them\n\n and") and got[2][2] is None
+    blocks = make_blocks(spark, ("paragraph", texts[0], 1, None))
+    assert C.fixed(blocks, 10, tokenizer=plug).count() == len(plug_windows(enc, texts[0].strip(), 10, 9))
+
+
+def plug_windows(enc, text, size, stride):
+    n = len(enc.encode_ordinary(text))
+    return range(1 + max(0, -(-(n - size) // stride)))
+
+
+def test_layout_model_blocks(spark):
+    items = spark.createDataFrame([("d", 0, "Section_Header", 1, " Head ", [3, 4]), ("d", 1, "text", 0, None, [3]), ("d", 2, "odd", 0, "x" * 60, []), ("e", 0, None, 0, "y", None)], "doc_id string, n int, label string, depth int, text string, pages array<int>")
+    blocks = L.model_blocks(items)
+    got = [tuple(r) for r in blocks.orderBy("doc_id", "idx").collect()]
+    assert got == [("d", 0, "heading", "Head", 3, 2), ("d", 1, "other", "x" * 60, None, None), ("e", 0, "other", "y", None, None)]
+    plain = spark.createDataFrame([("d", 100), ("e", 1), ("f", 10)], "doc_id string, plain_chars long")
+    state = {r.doc_id: (r.parse_failed, r.failure_reason) for r in L.model_state(blocks, plain).collect()}
+    assert state == {"d": (True, "only 64 % of the text is in the layout's blocks (64 of 100 characters)"), "e": (False, ""), "f": (True, "the layout has no text")}
+
+
+def test_vectors_and_chunks_must_match(spark):
+    chunks = spark.createDataFrame([("a", 1), ("b", 2)], "chunk_id string, has_vector int")
+    vectors = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "chunk_id string, embedding array<double>")
+    assert {(r.chunk_id, r.has_vector, r.embedding[0]) for r in S.aligned(chunks, vectors).collect()} == {("a", 1, 1.0), ("b", 2, 2.0)}
+    for x, y, message in ((chunks, vectors.limit(1), "chunk without a vector"), (chunks.limit(1), vectors, "vector without a chunk")):
+        with pytest.raises(Exception, match=message):
+            S.aligned(x, y).collect()
+
+
+def test_fragments_of_files(spark):
+    def parser(path, content):
+        part = {"page": 1, "size": 1.0, "scale": -12.04, "left": 0.0, "bottom": 0.0, "right": 9.0, "top": 12.0}
+        return 2, [part | {"text": t} for t in content.decode().split("|")]
+
+    rows = spark.createDataFrame([("/x/a.pdf", b"one| |  two  words"), ("/x/b.pdf", b" "), ("/x/c.pdf", b"\xff")], "path string, content binary")
+    got = [(r.doc_id, r.seq, r.size, r.text, r.failure_reason and r.failure_reason[:12]) for r in files.decode_fragments(rows, parser).orderBy("doc_id", "seq").collect()]
+    assert got == [("a", 0, 12.0, "one", None), ("a", 2, 12.0, "two words", None), ("b", None, None, None, "no extractab"), ("c", None, None, None, "UnicodeDecod")]
+
+
 def test_files(spark, tmp_path):
     for name, data in (("b.PDF", b"%PDF-x"), ("a.pdf", b"bad"), ("c.txt", b"")):
         (tmp_path / name).write_bytes(data)
