@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from passagework.functions import text as T
 from passagework.operators import blocks as B
 from passagework.operators import chunks as C
+from passagework.operators import layout as L
 from passagework.operators import metrics as M
 from passagework.operators import search as S
-from passagework.session import settle, table
+from passagework.session import fresh_path, settle, table
+from passagework.sources import files
 from passagework.sources.html_blocks import html_blocks
 
-SMALL_CHUNK, SMALL_CHILD, SMALL_PARENT = 64, 32, 96
+SMALL_CHUNK, SMALL_CHILD, SMALL_PARENT, EVAL_PARENT = 64, 32, 96, 512
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -82,12 +84,32 @@ def fixed_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def two_strategies(spark: SparkSession, d: str) -> DataFrame:
-    """Fixed chunks of the documents with and without overlap, with tokens and vectors."""
+    """Fixed chunks of the documents with and without overlap, with tokens."""
     blocks = flat(spark, d)
     chunks = C.fixed(blocks).unionByName(C.fixed(blocks, overlap_ratio=0.0))
+    return chunks.withColumn("tokens", T.count_tokens(F.col("return_text")))
+
+
+def all_strategies(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of every strategy, with tokens and vectors: fixed ones of the flat text, the others of the typed lines."""
+    typed = settle(L.typed_blocks(line_spans(spark, d)))  # two strategies read it
+    chunks = C.fan_out(flat(spark, d), ["fixed", "fixed-no-overlap"]).unionByName(C.contextual_heading(typed)).unionByName(C.parent_doc(typed, C.CHILD, EVAL_PARENT))
     return chunks.withColumn("tokens", T.count_tokens(F.col("return_text"))).withColumn("embedding", S.hash_embedder()(F.col("embed_text")))
 
 
+_STORES: dict[tuple[str, str], str] = {}
+
+
+def index(spark: SparkSession, d: str) -> DataFrame:
+    """The stored index of all strategies (S05 to S07): written by the first query of a session that needs it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORES:
+        path = fresh_path(spark, "index")
+        files.write_index(all_strategies(spark, d).withColumn("corpus", F.lit("documents")), path)
+        _STORES[key] = path
+    return files.read_index(spark, _STORES[key]).where("corpus = 'documents'")
+
+
 def questions(spark: SparkSession, d: str) -> DataFrame:
     """(qid, query, embedding): every benchmark passage asks for itself."""
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
@@ -105,7 +127,7 @@ def gold(spark: SparkSession, d: str) -> DataFrame:
 
 def hits(spark: SparkSession, d: str, k: int = S.WIDE) -> DataFrame:
     """Ranked chunks of each strategy and question, with texts and tokens."""
-    chunks = settle(two_strategies(spark, d))  # read twice: to be searched and to be shown
+    chunks = index(spark, d)
     found = S.topk(chunks, questions(spark, d), k)
     return found.join(chunks.select("strategy", "chunk_id", "doc_id", "return_text", "tokens"), ["strategy", "chunk_id"])
 
@@ -182,12 +204,12 @@ flat AS (
 doctext AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY idx) AS text FROM flat GROUP BY doc_id)"""
 
 
-def fixed_cte(name: str, strategy: str, stride: int) -> str:
+def fixed_cte(name: str, strategy: str, stride: int, texts: str = "doctext") -> str:
     return rf"""
 {name} AS (
   SELECT doc_id::VARCHAR AS doc_id, doc_id::VARCHAR || '::{strategy}::' || i AS chunk_id, i AS ord, text, '{strategy}' AS strategy FROM (
     SELECT doc_id, i, trim(array_to_string(list_slice(t, i * {stride} + 1, i * {stride} + 512), ''), ' ' || chr(9) || chr(10) || chr(13) || chr(12)) AS text FROM (
-      SELECT doc_id, t, unnest(range(greatest(0, ceil((len(t) - 512) / {stride}.0))::BIGINT + 1)) AS i FROM (SELECT doc_id, {toks("text")} AS t FROM doctext) WHERE len(t) > 0))
+      SELECT doc_id, t, unnest(range(greatest(0, ceil((len(t) - 512) / {stride}.0))::BIGINT + 1)) AS i FROM (SELECT doc_id, {toks("text")} AS t FROM {texts}) WHERE len(t) > 0))
   WHERE text <> '')"""
 
 
@@ -199,7 +221,81 @@ def embedded(name: str, rows: str, key: str, text: str) -> str:
     return f"{name} AS (SELECT {key}, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS d, count(*)::DOUBLE AS n FROM (SELECT {key}, unnest({words(text)}) AS w FROM {rows}) GROUP BY ALL)"
 
 
-HITS = f"""{CHUNKS},
+ITEMS = rf"""
+item0 AS (SELECT doc_id, lang, unnest(ls) AS line, unnest(range(len(ls)))::INT AS n FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL)),
+items AS (
+  SELECT doc_id, n, coalesce(lang, '') = 'de' AND n % 2 = 1 AS lost, {clean("line")} AS text, n % 3 AS depth, CASE WHEN n % 7 <> 3 THEN n // 40 + 1 END AS page,
+    ['heading', 'heading', 'paragraph', 'list_item', 'footer', 'other'][n % 6 + 1] AS type FROM item0),
+iblocks AS (
+  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1)::INT AS idx, type, text, page::INT AS page, CASE WHEN type = 'heading' THEN depth + 1 END::INT AS level
+  FROM items WHERE NOT lost AND text <> '')"""
+
+SPANS = rf"""
+lines0 AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS li FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+spans AS (
+  SELECT doc_id, (li // 40 + 1)::INT AS page, li::INT AS seq, CASE WHEN li % 9 = 0 THEN 18.0 WHEN li % 9 = 4 THEN 14.0 ELSE 10.0 END::DOUBLE AS size, text
+  FROM (SELECT doc_id, li, {clean("line")} AS text FROM lines0) WHERE text <> ''),
+sums AS (SELECT doc_id, size, sum(length(text)) AS chars, min(li0) AS first_at FROM (SELECT *, page * 1000000 + seq AS li0 FROM spans) GROUP BY ALL),
+body AS (SELECT doc_id, size AS body FROM sums QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, first_at) = 1),
+levels AS (
+  SELECT doc_id, size, level FROM (
+    SELECT s.doc_id, s.size, dense_rank() OVER (PARTITION BY s.doc_id ORDER BY s.size DESC)::INT AS level FROM (SELECT DISTINCT doc_id, size FROM spans) s JOIN body USING (doc_id) WHERE s.size >= body * 1.15)
+  WHERE level <= 4),
+typed AS (
+  SELECT s.doc_id, (row_number() OVER (PARTITION BY s.doc_id ORDER BY page, seq) - 1)::INT AS idx, page, text, level,
+    level IS NOT NULL AND length(text) <= 120 AND NOT regexp_matches(lower(text), '{T.LINKS}')
+      AND length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) >= 2 AND length(regexp_replace(text, '\P{{L}}', '', 'g')) >= 3
+      AND length(regexp_replace(text, '\P{{L}}', '', 'g')) / length(text) >= 0.4 AND length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) / length(text) >= 0.5 AS heading
+  FROM spans s LEFT JOIN levels USING (doc_id, size)),
+tblocks AS (SELECT doc_id, idx, CASE WHEN heading THEN 'heading' ELSE 'paragraph' END AS type, text, page, CASE WHEN heading THEN level END AS level FROM typed)"""
+
+ENDS = "' ' || chr(9) || chr(10) || chr(13) || chr(12)"
+
+
+def structural(name: str, blocks: str, limit: int, parent: int | None = None) -> str:
+    """CTEs of contextual-heading chunks, or (with ``parent``) of parent-doc ones; needs WITH RECURSIVE.
+
+    ``name`` is (doc_id, chunk_id, ord, raw_text, text, return_text, path, strategy, degraded).
+    """
+    n = name
+    strategy = "parent-doc" if parent else "contextual-heading"
+    # sections begin at headings; without parents a document is one
+    section = "sum((type = 'heading')::INT) OVER (PARTITION BY doc_id ORDER BY idx)" if parent else "0"
+    back = f"""CASE WHEN {n_toks("whole")} <= {parent} THEN whole ELSE trim(array_to_string(list_slice({toks("whole")}, start + 1, start + {parent}), ''), {ENDS}) END""" if parent else "body"
+    embed = "body" if parent else "CASE WHEN path <> '' THEN path || chr(10) || chr(10) || body ELSE body END"
+    return rf"""
+{n}_b AS (SELECT doc_id, idx, text, {section} AS sec FROM {blocks} WHERE type <> 'footer'),
+{n}_t AS (SELECT *, {toks("text")} AS t FROM {n}_b),
+{n}_i AS (SELECT *, unnest(range(greatest(1, ceil(len(t) / {limit}.0)::BIGINT))) AS i FROM {n}_t),
+{n}_c AS (
+  SELECT doc_id, sec, idx, i, CASE WHEN len(t) <= {limit} THEN text ELSE trim(array_to_string(list_slice(t, i * {limit} + 1, i * {limit} + {limit}), ''), {ENDS}) END AS text,
+    CASE WHEN len(t) <= {limit} THEN len(t) ELSE least({limit}, len(t) - i * {limit}) END AS n FROM {n}_i),
+{n}_n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sec ORDER BY idx, i) AS r FROM {n}_c WHERE text <> ''),
+{n}_p AS (
+  SELECT doc_id, sec, r, idx, text, n, 0 AS run, n AS used FROM {n}_n WHERE r = 1
+  UNION ALL SELECT x.doc_id, x.sec, x.r, x.idx, x.text, x.n, CASE WHEN p.used + x.n > {limit} THEN p.run + 1 ELSE p.run END, CASE WHEN p.used + x.n > {limit} THEN x.n ELSE p.used + x.n END
+  FROM {n}_p p JOIN {n}_n x ON x.doc_id = p.doc_id AND x.sec = p.sec AND x.r = p.r + 1),
+{n}_r AS (SELECT doc_id, sec, run, trim(string_agg(text, chr(10) || chr(10) ORDER BY r), {ENDS}) AS body, min(idx) AS first FROM {n}_p GROUP BY ALL),
+{n}_s AS (SELECT doc_id, sec, string_agg(text, chr(10) || chr(10) ORDER BY idx) AS whole, min(idx) AS head FROM {n}_b GROUP BY ALL),
+{n}_x AS (SELECT r.*, whole, {"head" if parent else "first"} AS spot FROM {n}_r r JOIN {n}_s USING (doc_id, sec) WHERE body <> ''),
+{n}_h AS (SELECT doc_id, idx, text, level FROM {blocks} WHERE type = 'heading'),
+{n}_q AS (
+  SELECT x.doc_id, x.spot, string_agg(h.text, ' > ' ORDER BY h.idx) AS path, list(h.text ORDER BY h.idx) AS heading_path FROM (SELECT DISTINCT doc_id, spot FROM {n}_x) x JOIN {n}_h h ON h.doc_id = x.doc_id AND h.idx < x.spot
+  WHERE NOT EXISTS (SELECT 1 FROM {n}_h g WHERE g.doc_id = x.doc_id AND g.idx > h.idx AND g.idx < x.spot AND g.level <= h.level) GROUP BY ALL),
+{n}_d AS (SELECT doc_id, NOT bool_or(type = 'heading') AS degraded FROM {blocks} GROUP BY doc_id),
+{n}_f AS (SELECT *, strpos(whole, body) AS found FROM {n}_x),
+{n}_m AS (SELECT *, CASE WHEN found > 0 THEN greatest(0, {n_toks("left(whole, found - 1)")} - greatest(0, ({parent or 0} - {n_toks("body")}) // 2)) ELSE 0 END AS start FROM {n}_f),
+{n} AS (
+  SELECT doc_id::VARCHAR AS doc_id, doc_id::VARCHAR || '::{strategy}::' || ord AS chunk_id, ord, body AS raw_text, {embed} AS text, {back} AS return_text, path, heading_path, '{strategy}' AS strategy, degraded
+  FROM (SELECT m.*, coalesce(path, '') AS path, coalesce(heading_path, []) AS heading_path, {"row_number() OVER (PARTITION BY m.doc_id ORDER BY sec, run) - 1" if parent else "run"} AS ord FROM {n}_m m LEFT JOIN {n}_q q ON q.doc_id = m.doc_id AND q.spot = m.spot) JOIN {n}_d USING (doc_id))"""
+
+
+HITS = f"""{FLAT},{fixed_cte('fx', 'fixed', 448)},{fixed_cte('fn', 'fixed-no-overlap', 512)},
+{SPANS},{structural("ch", "tblocks", 512)},{structural("pd", "tblocks", 128, 512)},
+chunks AS (
+  SELECT *, {n_toks('return_text')} AS tokens FROM (
+    SELECT strategy, chunk_id, doc_id, text, text AS return_text, '' AS path FROM fx UNION ALL SELECT strategy, chunk_id, doc_id, text, text, '' FROM fn
+    UNION ALL SELECT strategy, chunk_id, doc_id, text, return_text, path FROM ch UNION ALL SELECT strategy, chunk_id, doc_id, text, return_text, path FROM pd)),
 {embedded("ce", "chunks", "strategy, chunk_id", "text")},
 {embedded("qe", "(SELECT item_id AS qid, text FROM benchmark)", "qid", "text")},
 cm AS (SELECT strategy, chunk_id, sum(n * n) AS m FROM ce GROUP BY ALL),
@@ -209,7 +305,7 @@ scored AS (
   SELECT c.strategy, c.chunk_id, q.qid, coalesce(p / sqrt(qm.m * cm.m), 0.0) AS score
   FROM chunks c CROSS JOIN (SELECT item_id AS qid FROM benchmark) q LEFT JOIN dots USING (strategy, chunk_id, qid) LEFT JOIN cm USING (strategy, chunk_id) LEFT JOIN qm USING (qid)),
 deep AS (
-  SELECT s.*, c.doc_id, c.text AS return_text, c.tokens FROM (
+  SELECT s.*, c.doc_id, c.return_text, c.tokens, c.path FROM (
     SELECT *, (row_number() OVER (PARTITION BY strategy, qid ORDER BY score DESC, chunk_id) - 1)::INT AS rank FROM scored QUALIFY rank < 200) s
   JOIN chunks c USING (strategy, chunk_id))"""
 
@@ -277,31 +373,3 @@ blocks AS (
     CASE WHEN tag LIKE 'h%' THEN 'heading' WHEN tag = 'p' THEN 'paragraph' WHEN tag = 'li' THEN 'list_item' WHEN tag IN ('nav', 'footer') THEN 'footer' ELSE 'other' END AS type,
     text, NULL::INT AS page, CASE WHEN tag LIKE 'h%' THEN substr(tag, 2, 1)::INT END AS level
   FROM texts0 WHERE text <> '')"""
-
-ITEMS = rf"""
-item0 AS (SELECT doc_id, lang, unnest(ls) AS line, unnest(range(len(ls)))::INT AS n FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL)),
-items AS (
-  SELECT doc_id, n, coalesce(lang, '') = 'de' AND n % 2 = 1 AS lost, {clean("line")} AS text, n % 3 AS depth, CASE WHEN n % 7 <> 3 THEN n // 40 + 1 END AS page,
-    ['heading', 'heading', 'paragraph', 'list_item', 'footer', 'other'][n % 6 + 1] AS type FROM item0),
-iblocks AS (
-  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1)::INT AS idx, type, text, page::INT AS page, CASE WHEN type = 'heading' THEN depth + 1 END::INT AS level
-  FROM items WHERE NOT lost AND text <> '')"""
-
-SPANS = rf"""
-lines0 AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS li FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
-spans AS (
-  SELECT doc_id, (li // 40 + 1)::INT AS page, li::INT AS seq, CASE WHEN li % 9 = 0 THEN 18.0 WHEN li % 9 = 4 THEN 14.0 ELSE 10.0 END::DOUBLE AS size, text
-  FROM (SELECT doc_id, li, {clean("line")} AS text FROM lines0) WHERE text <> ''),
-sums AS (SELECT doc_id, size, sum(length(text)) AS chars, min(li0) AS first_at FROM (SELECT *, page * 1000000 + seq AS li0 FROM spans) GROUP BY ALL),
-body AS (SELECT doc_id, size AS body FROM sums QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, first_at) = 1),
-levels AS (
-  SELECT doc_id, size, level FROM (
-    SELECT s.doc_id, s.size, dense_rank() OVER (PARTITION BY s.doc_id ORDER BY s.size DESC)::INT AS level FROM (SELECT DISTINCT doc_id, size FROM spans) s JOIN body USING (doc_id) WHERE s.size >= body * 1.15)
-  WHERE level <= 4),
-typed AS (
-  SELECT s.doc_id, (row_number() OVER (PARTITION BY s.doc_id ORDER BY page, seq) - 1)::INT AS idx, page, text, level,
-    level IS NOT NULL AND length(text) <= 120 AND NOT regexp_matches(lower(text), '{T.LINKS}')
-      AND length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) >= 2 AND length(regexp_replace(text, '\P{{L}}', '', 'g')) >= 3
-      AND length(regexp_replace(text, '\P{{L}}', '', 'g')) / length(text) >= 0.4 AND length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) / length(text) >= 0.5 AS heading
-  FROM spans s LEFT JOIN levels USING (doc_id, size)),
-tblocks AS (SELECT doc_id, idx, CASE WHEN heading THEN 'heading' ELSE 'paragraph' END AS type, text, page, CASE WHEN heading THEN level END AS level FROM typed)"""

@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.functions import text as T
@@ -23,7 +23,7 @@ from passagework.operators import questions as Q
 from passagework.operators import reuse as R
 from passagework.operators import search as S
 from passagework.plans import bindings as D
-from passagework.session import fresh_path, table
+from passagework.session import fresh_path, settle, table
 from passagework.sources import files
 from passagework.sources.corpora import Corpora
 
@@ -64,11 +64,11 @@ def s03_csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return files.read_csv(spark, path).select(F.col("item_id").cast("bigint").alias("item_id"), "text")
 
 
-@query(f"WITH {D.CHUNKS} SELECT 'documents' AS corpus, strategy, count(*) AS chunks, sum(tokens)::BIGINT AS tokens FROM chunks GROUP BY ALL")
+@query(f"WITH RECURSIVE {D.HITS} SELECT 'documents' AS corpus, strategy, count(*) AS chunks, sum(tokens)::BIGINT AS tokens FROM chunks GROUP BY ALL")
 def s05_index_store(spark: SparkSession, d: str) -> DataFrame:
     """Chunks with vectors, written by corpus and strategy and read again."""
     path = fresh_path(spark, "index")
-    files.write_index(D.two_strategies(spark, d).withColumn("corpus", F.lit("documents")), path)
+    files.write_index(D.all_strategies(spark, d).withColumn("corpus", F.lit("documents")), path)
     return files.read_index(spark, path).groupBy("corpus", "strategy").agg(F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"))
 
 
@@ -303,51 +303,47 @@ def k04_fixed_no_overlap(spark: SparkSession, d: str) -> DataFrame:
     return C.fixed(D.flat(spark, d), overlap_ratio=0.0).select("chunk_id", "ord", "raw_text", "strategy")
 
 
-_PIECES = f"""
-body0 AS (SELECT *, {D.toks("text")} AS t FROM blocks WHERE type <> 'footer'),
-cutat AS (SELECT *, unnest(range(greatest(1, ceil(len(t) / 64.0)::BIGINT))) AS i FROM body0),
-cut AS (SELECT doc_id, idx, i, CASE WHEN len(t) <= 64 THEN text ELSE trim(array_to_string(list_slice(t, i * 64 + 1, i * 64 + 64), ''), ' ' || chr(9) || chr(10)) END AS text,
-  CASE WHEN len(t) <= 64 THEN len(t) ELSE least(64, len(t) - i * 64) END AS n FROM cutat),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx, i) AS r FROM cut),
-packs AS (
-  SELECT doc_id, r, idx, text, n, 0 AS run, n AS used FROM numbered WHERE r = 1
-  UNION ALL SELECT x.doc_id, x.r, x.idx, x.text, x.n, CASE WHEN p.used + x.n > 64 THEN p.run + 1 ELSE p.run END, CASE WHEN p.used + x.n > 64 THEN x.n ELSE p.used + x.n END
-  FROM packs p JOIN numbered x ON x.doc_id = p.doc_id AND x.r = p.r + 1)"""
-
-
-@query(f"""WITH RECURSIVE {D.HTML}, {_PIECES},
-runs AS (SELECT doc_id, run, string_agg(text, chr(10) || chr(10) ORDER BY r) AS body, min(idx) AS first FROM packs GROUP BY doc_id, run),
-h AS (SELECT doc_id, idx, text, level FROM blocks WHERE type = 'heading'),
-p AS (SELECT r.doc_id, r.run, list(h.text ORDER BY h.idx) AS path FROM runs r JOIN h ON h.doc_id = r.doc_id AND h.idx < r.first
-  WHERE NOT EXISTS (SELECT 1 FROM h g WHERE g.doc_id = r.doc_id AND g.idx > h.idx AND g.idx < r.first AND g.level <= h.level) GROUP BY r.doc_id, r.run),
-s AS (SELECT doc_id, bool_or(type = 'heading') AS has FROM blocks GROUP BY doc_id)
-SELECT doc_id || '::contextual-heading::' || run AS chunk_id, body AS raw_text, CASE WHEN path IS NOT NULL THEN array_to_string(path, ' > ') || chr(10) || chr(10) || body ELSE body END AS embed_text, NOT has AS degraded
-FROM runs LEFT JOIN p USING (doc_id, run) JOIN s USING (doc_id) WHERE body <> ''""")
+@query(f"WITH RECURSIVE {D.HTML},{D.structural('ch', 'blocks', D.SMALL_CHUNK)} SELECT chunk_id, raw_text, text AS embed_text, heading_path, degraded FROM ch")
 def k08_contextual_heading(spark: SparkSession, d: str) -> DataFrame:
     """Oversized blocks cut, runs packed, paths put before."""
-    return C.contextual_heading(D.page_blocks(spark, d), D.SMALL_CHUNK).select("chunk_id", "raw_text", "embed_text", "degraded")
+    return C.contextual_heading(D.page_blocks(spark, d), D.SMALL_CHUNK).select("chunk_id", "raw_text", "embed_text", "heading_path", "degraded")
 
 
-@query(f"WITH {D.HTML} SELECT doc_id, idx, sum((type = 'heading')::INT) OVER (PARTITION BY doc_id ORDER BY idx)::BIGINT AS section FROM blocks WHERE type <> 'footer'")
+@query(f"""WITH {D.HTML}, b AS (SELECT doc_id, idx, text, sum((type = 'heading')::INT) OVER (PARTITION BY doc_id ORDER BY idx) AS sec FROM blocks WHERE type <> 'footer')
+SELECT doc_id || '::parent-doc::' || (row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1) AS chunk_id, string_agg(text, chr(10) || chr(10) ORDER BY idx) AS section FROM b GROUP BY doc_id, sec""")
 def k09_sections(spark: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("doc_id").orderBy("idx")
-    return D.page_blocks(spark, d).where("type <> 'footer'").select("doc_id", "idx", F.sum((F.col("type") == "heading").cast("int")).over(order).alias("section"))
+    """Sections as parent-doc cuts them: with limits beyond any text, a child is its section and so is its parent."""
+    whole = 1 << 30
+    return C.parent_doc(D.page_blocks(spark, d), whole, whole).select("chunk_id", F.col("return_text").alias("section"))
 
 
-@query()
+@query(f"WITH RECURSIVE {D.HTML},{D.structural('pd', 'blocks', D.SMALL_CHILD, D.SMALL_PARENT)} SELECT chunk_id, raw_text, return_text, heading_path, degraded FROM pd")
 def k10_parent_doc(spark: SparkSession, d: str) -> DataFrame:
-    """Children within sections, with their bounded parents (K10, K11); tests hold it against literal cases."""
+    """Children within sections, with their bounded parents."""
     return C.parent_doc(D.page_blocks(spark, d), D.SMALL_CHILD, D.SMALL_PARENT).select("chunk_id", "raw_text", "return_text", "heading_path", "degraded")
 
 
-@query(f"WITH {D.CHUNKS} SELECT chunk_id, false AS is_expanded, false AS is_enriched FROM chunks WHERE strategy = 'fixed'")
+_BOTH = f"{D.HTML},{D.structural('ch', 'blocks', D.SMALL_CHUNK)},{D.structural('pd', 'blocks', D.SMALL_CHILD, D.SMALL_PARENT)}"
+
+
+@query(f"WITH RECURSIVE {_BOTH} SELECT chunk_id, length(return_text) > length(text) AS is_expanded, length(text) > length(raw_text) AS is_enriched FROM (SELECT chunk_id, raw_text, text, return_text FROM ch UNION ALL SELECT chunk_id, raw_text, text, return_text FROM pd)")
 def k14_chunk_flags(spark: SparkSession, d: str) -> DataFrame:
-    return C.with_flags(C.complete(D.fixed_chunks(spark, d))).select("chunk_id", "is_expanded", "is_enriched")
+    """Paths enrich the chunks of one strategy, parents expand those of the other."""
+    blocks = settle(D.page_blocks(spark, d))
+    chunks = C.contextual_heading(blocks, D.SMALL_CHUNK).unionByName(C.parent_doc(blocks, D.SMALL_CHILD, D.SMALL_PARENT))
+    return C.with_flags(C.complete(chunks)).select("chunk_id", "is_expanded", "is_enriched")
 
 
-@query()
+_PAGE_TEXT = "ptext AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY idx) AS text FROM blocks WHERE type <> 'footer' GROUP BY doc_id)"
+
+
+@query(f"""WITH RECURSIVE {D.HTML},{D.structural('ch', 'blocks', C.CHUNK)},{D.structural('pd', 'blocks', C.CHILD, C.PARENT)},
+{_PAGE_TEXT},{D.fixed_cte('fx', 'fixed', 448, 'ptext')},{D.fixed_cte('fn', 'fixed-no-overlap', 512, 'ptext')}
+SELECT strategy, count(*) AS chunks, count(DISTINCT doc_id) AS docs, min(chunk_id) AS first FROM (
+  SELECT strategy, doc_id, chunk_id FROM ch UNION ALL SELECT strategy, doc_id, chunk_id FROM pd UNION ALL SELECT strategy, doc_id, chunk_id FROM fx UNION ALL SELECT strategy, doc_id, chunk_id FROM fn) GROUP BY strategy""")
 def k15_strategy_fan_out(spark: SparkSession, d: str) -> DataFrame:
-    return C.fan_out(D.page_blocks(spark, d)).groupBy("strategy").agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("docs"))
+    blocks = settle(D.page_blocks(spark, d))  # read by each strategy
+    return C.fan_out(blocks).groupBy("strategy").agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("docs"), F.min("chunk_id").alias("first"))
 
 
 # ---- enrichment
@@ -400,9 +396,9 @@ def v01_normalise(spark: SparkSession, d: str) -> DataFrame:
     return D.vectors(spark, d).select("vec_id", F.transform(V.normalise(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
 
 
-@query(f"WITH {D.HITS} SELECT strategy, qid, chunk_id, rank, round(score, 6) AS score FROM deep WHERE rank < 10")
+@query(f"WITH RECURSIVE {D.HITS} SELECT strategy, qid, chunk_id, rank, round(score, 6) AS score FROM deep WHERE rank < 10")
 def v03_exact_topk(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(S.topk(D.two_strategies(spark, d), D.questions(spark, d)), "score").select("strategy", "qid", "chunk_id", "rank", "score")
+    return rounded(S.topk(D.index(spark, d), D.questions(spark, d)), "score").select("strategy", "qid", "chunk_id", "rank", "score")
 
 
 @query("""SELECT qid, vec_id, rank, round(score, 6) AS score FROM (
@@ -415,7 +411,7 @@ def v03_topk_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return rounded(found.select("qid", F.col("chunk_id").alias("vec_id"), "rank", "score"), "score")
 
 
-@query(f"WITH {D.HITS}, {D.BUDGETED} SELECT strategy, qid, chunk_id, rank, tokens FROM budgeted")
+@query(f"WITH RECURSIVE {D.HITS}, {D.BUDGETED} SELECT strategy, qid, chunk_id, rank, tokens FROM budgeted")
 def v04_token_budget(spark: SparkSession, d: str) -> DataFrame:
     """The first 200 hits, cut at 4,000 tokens."""
     return S.budgeted(D.hits(spark, d, S.DEEPEST)).select("strategy", "qid", "chunk_id", "rank", F.col("tokens").cast("long").alias("tokens"))
@@ -428,23 +424,23 @@ def v02_aligned(spark: SparkSession, d: str) -> DataFrame:
     return S.aligned(v.select("chunk_id"), v).select("chunk_id", F.size("embedding").alias("dims"))
 
 
-@query(f"WITH {D.CHUNKS} SELECT strategy, count(*) AS chunks, 64 AS dims, count(*) * 256 AS bytes FROM chunks GROUP BY strategy")
+@query(f"WITH RECURSIVE {D.HITS} SELECT strategy, count(*) AS chunks, 64 AS dims, count(*) * 256 AS bytes FROM chunks GROUP BY strategy")
 def v06_index_size(spark: SparkSession, d: str) -> DataFrame:
-    return S.index_size(D.two_strategies(spark, d))
+    return S.index_size(D.index(spark, d))
 
 
-@query(f"WITH {D.HITS} SELECT strategy, qid, rank, round(score, 6) AS score, '' AS path, left(return_text, 200) AS preview FROM deep WHERE rank < 3")
+@query(f"WITH RECURSIVE {D.HITS} SELECT strategy, qid, rank, round(score, 6) AS score, path, left(return_text, 200) AS preview FROM deep WHERE rank < 3")
 def v07_side_by_side(spark: SparkSession, d: str) -> DataFrame:
-    chunks = D.two_strategies(spark, d)
+    chunks = D.index(spark, d)
     return rounded(S.side_by_side(S.topk(chunks, D.questions(spark, d)), chunks), "score")
 
 
-@query(f"WITH {D.HITS} SELECT strategy, qid, chunk_id, rank FROM deep WHERE rank < 5")
+@query(f"WITH RECURSIVE {D.HITS} SELECT strategy, qid, chunk_id, rank FROM deep WHERE rank < 5")
 def x01_no_rerank(spark: SparkSession, d: str) -> DataFrame:
-    return S.no_rerank(S.topk(D.two_strategies(spark, d), D.questions(spark, d), S.WIDE), 5).select("strategy", "qid", "chunk_id", "rank")
+    return S.no_rerank(S.topk(D.index(spark, d), D.questions(spark, d), S.WIDE), 5).select("strategy", "qid", "chunk_id", "rank")
 
 
-@query(f"WITH {D.RUNS} SELECT strategy, scoring, qid, chunk_id, rank, round(score, 6) AS score FROM runs WHERE reranker = 'overlap'")
+@query(f"WITH RECURSIVE {D.RUNS} SELECT strategy, scoring, qid, chunk_id, rank, round(score, 6) AS score FROM runs WHERE reranker = 'overlap'")
 def x02_rerank(spark: SparkSession, d: str) -> DataFrame:
     """Reranked hits, wide then narrow and within the budget."""
     found = D.runs(spark, d).where("reranker = 'overlap'")
@@ -478,13 +474,13 @@ def m03_coverage(spark: SparkSession, d: str) -> DataFrame:
 _RUN = "strategy, scoring, reranker"
 
 
-@query(f"WITH {D.RESULTS} SELECT {_RUN}, qid, relevant_ranks, retrieved, tokens_returned, gold_count FROM results")
+@query(f"WITH RECURSIVE {D.RESULTS} SELECT {_RUN}, qid, relevant_ranks, retrieved, tokens_returned, gold_count FROM results")
 def m06_query_results(spark: SparkSession, d: str) -> DataFrame:
     """Relevant ranks and returned tokens of every run."""
     return D.results(spark, d)
 
 
-@query(f"WITH {D.RESULTS} SELECT {_RUN}, qid, round(recall_at_1, 6) AS recall_at_1, round(recall_at_5, 6) AS recall_at_5, round(recall_at_10, 6) AS recall_at_10, round(rr, 6) AS rr, round(ndcg_at_10, 6) AS ndcg_at_10 FROM scores")
+@query(f"WITH RECURSIVE {D.RESULTS} SELECT {_RUN}, qid, round(recall_at_1, 6) AS recall_at_1, round(recall_at_5, 6) AS recall_at_5, round(recall_at_10, 6) AS recall_at_10, round(rr, 6) AS rr, round(ndcg_at_10, 6) AS ndcg_at_10 FROM scores")
 def m09_ndcg(spark: SparkSession, d: str) -> DataFrame:
     """Recall, reciprocal rank and nDCG of every query."""
     names = ["recall_at_1", "recall_at_5", "recall_at_10", "rr", "ndcg_at_10"]
@@ -494,7 +490,7 @@ def m09_ndcg(spark: SparkSession, d: str) -> DataFrame:
 _MEANS = "count(*) AS queries, avg(recall_at_1) AS recall_at_1, avg(recall_at_5) AS recall_at_5, avg(recall_at_10) AS recall_at_10, avg(ndcg_at_10) AS ndcg_at_10, avg(rr) AS mrr, median(tokens_returned) AS median_tokens"
 
 
-@query(f"""WITH {D.RESULTS}, m AS (SELECT {_RUN}, {_MEANS} FROM scores GROUP BY ALL)
+@query(f"""WITH RECURSIVE {D.RESULTS}, m AS (SELECT {_RUN}, {_MEANS} FROM scores GROUP BY ALL)
 SELECT {_RUN}, queries, round(recall_at_1, 6) AS recall_at_1, round(recall_at_5, 6) AS recall_at_5, round(recall_at_10, 6) AS recall_at_10, round(ndcg_at_10, 6) AS ndcg_at_10, round(mrr, 6) AS mrr, round(median_tokens, 6) AS median_tokens,
   round(coalesce(ndcg_at_10 / nullif(median_tokens / 1000, 0), 0), 6) AS ndcg_per_1k_tokens FROM m""")
 def m10_run_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -510,7 +506,7 @@ def m11_query_form(spark: SparkSession, d: str) -> DataFrame:
     return M.query_form(turns).select("conv_id", "turn", "query_form", "query")
 
 
-@query(f"""WITH {D.RESULTS}, m AS (SELECT strategy, reranker, avg(ndcg_at_10) AS v FROM scores WHERE scoring = 'k=10' GROUP BY ALL)
+@query(f"""WITH RECURSIVE {D.RESULTS}, m AS (SELECT strategy, reranker, avg(ndcg_at_10) AS v FROM scores WHERE scoring = 'k=10' GROUP BY ALL)
 SELECT strategy, round(any_value(v) FILTER (reranker = 'none'), 6) AS plain, round(any_value(v) FILTER (reranker = 'overlap'), 6) AS reranked, round(any_value(v) FILTER (reranker = 'overlap') - any_value(v) FILTER (reranker = 'none'), 6) AS gain FROM m GROUP BY strategy""")
 def m12_compare_rerankers(spark: SparkSession, d: str) -> DataFrame:
     return rounded(M.compare(M.summary(D.results(spark, d))), "plain", "reranked", "gain")
