@@ -166,18 +166,17 @@ def r13_typed_blocks(spark: SparkSession, d: str) -> DataFrame:
     return L.typed_blocks(D.line_spans(spark, d))
 
 
-@query(f"""WITH {D.SPANS}, {D.FLAT},
-plain AS (SELECT doc_id, length({D.clean("text")})::BIGINT AS plain_chars FROM documents WHERE text IS NOT NULL),
-got AS (SELECT doc_id, sum(length(text))::BIGINT AS chars FROM tblocks WHERE type = 'paragraph' GROUP BY doc_id),
+@query(f"""WITH {D.ITEMS}, {D.FLAT},
+plain AS (SELECT doc_id, length({D.clean("text")})::BIGINT AS plain_chars FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+got AS (SELECT doc_id, sum(length(text))::BIGINT AS chars FROM iblocks GROUP BY doc_id),
 kept AS (SELECT doc_id, coalesce(chars, 0) >= plain_chars * 0.9::DOUBLE AS kept FROM plain LEFT JOIN got USING (doc_id))
-SELECT doc_id, idx, text, true AS structured FROM tblocks SEMI JOIN (FROM kept WHERE kept) USING (doc_id) WHERE type = 'paragraph'
+SELECT doc_id, idx, text, true AS structured FROM iblocks SEMI JOIN (FROM kept WHERE kept) USING (doc_id)
 UNION ALL SELECT doc_id, idx, text, false FROM flat ANTI JOIN (FROM kept WHERE kept) USING (doc_id)""")
 def r14_retention_fallback(spark: SparkSession, d: str) -> DataFrame:
-    """Paragraphs alone where they hold 90 % of the text, flat blocks elsewhere."""
-    found = L.typed_blocks(D.line_spans(spark, d)).where("type = 'paragraph'").withColumn("structured", F.lit(True))
-    plain = table(spark, d, "documents").where("text is not null").select("doc_id", F.length(T.clean(F.col("text"))).cast("long").alias("plain_chars"))
+    """A layout's blocks where they hold 90 % of the text, flat blocks where it lost more."""
     names = ["doc_id", "idx", "text", "structured"]
-    return L.with_fallback(found.select(names), D.flat(spark, d).withColumn("structured", F.lit(False)).select(names), plain)
+    found = L.model_blocks(D.layout_items(spark, d)).withColumn("structured", F.lit(True)).select(names)
+    return L.with_fallback(found, D.flat(spark, d).withColumn("structured", F.lit(False)).select(names), D.plain_lengths(spark, d))
 
 
 @query(f"WITH {D.ITEMS} SELECT * FROM iblocks")
@@ -238,22 +237,21 @@ def r24_heading_paths(spark: SparkSession, d: str) -> DataFrame:
     return B.heading_paths(L.typed_blocks(D.line_spans(spark, d)))
 
 
-_TRIAGE = "t AS (SELECT doc_id, 1 + length(text) // 3000 AS pages, length(regexp_replace(text, '[^0-9]', '', 'g'))::BIGINT AS chars FROM documents WHERE text IS NOT NULL)"
+_TRIAGE = "t AS (SELECT doc_id, 1 + length(text) // 3000 AS pages, length(text)::BIGINT AS chars FROM documents WHERE text IS NOT NULL)"
 
 
 def _triaged(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("text is not null")
-    digits = docs.select("doc_id", F.regexp_replace("text", "[^0-9]", "").alias("text"))
-    return B.triage(docs.select("doc_id", (1 + F.floor(F.length("text") / 3000)).alias("page_count")), digits, least=3)
+    return B.triage(docs.select("doc_id", (1 + F.floor(F.length("text") / 3000)).alias("page_count")), docs.select("doc_id", "text"))
 
 
-@query(f"WITH {_TRIAGE} SELECT doc_id, pages, chars, round(chars / pages, 6) AS chars_per_page, chars / pages < 3 AS scanned FROM t")
+@query(f"WITH {_TRIAGE} SELECT doc_id, pages, chars, round(chars / pages, 6) AS chars_per_page, chars / pages < 100 AS scanned FROM t")
 def r25_triage(spark: SparkSession, d: str) -> DataFrame:
-    """Documents by their digits, 3,000 characters a page; under 3 a page counts as scanned."""
+    """Documents by their characters, 3,000 a page; under 100 a page counts as scanned."""
     return rounded(_triaged(spark, d), "chars_per_page")
 
 
-@query(f"WITH {_TRIAGE} SELECT count(*) AS docs, count(*) FILTER (chars / pages < 3) AS scanned, sum(pages)::BIGINT AS pages, sum(chars)::BIGINT AS chars, list_sort(list(pages))[count(*) // 2 + 1] AS median_pages, (sum(chars) // 4)::BIGINT AS tokens_guess FROM t")
+@query(f"WITH {_TRIAGE} SELECT count(*) AS docs, count(*) FILTER (chars / pages < 100) AS scanned, sum(pages)::BIGINT AS pages, sum(chars)::BIGINT AS chars, list_sort(list(pages))[count(*) // 2 + 1] AS median_pages, (sum(chars) // 4)::BIGINT AS tokens_guess FROM t")
 def r26_triage_summary(spark: SparkSession, d: str) -> DataFrame:
     return B.triage_summary(_triaged(spark, d))
 
@@ -309,6 +307,21 @@ def k08_contextual_heading(spark: SparkSession, d: str) -> DataFrame:
     return C.contextual_heading(D.page_blocks(spark, d), D.SMALL_CHUNK).select("chunk_id", "raw_text", "embed_text", "heading_path", "degraded")
 
 
+@query(f"WITH RECURSIVE {D.SPANS},{D.structural('ch', 'tblocks', D.SMALL_CHUNK)} SELECT doc_id || '::contextual-heading::' || run AS chunk_id, min(page) AS page_start, max(page) AS page_end FROM ch_p JOIN tblocks USING (doc_id, idx) GROUP BY doc_id, run")
+def a08_page_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """First and last page of each chunk."""
+    return C.contextual_heading(L.typed_blocks(D.line_spans(spark, d)), D.SMALL_CHUNK).select("chunk_id", "page_start", "page_end")
+
+
+@query(f"WITH {D.CHUNKS}, n AS (SELECT doc_id, count(*) FILTER (strategy = 'fixed') AS chunks FROM chunks GROUP BY doc_id) SELECT d.doc_id, coalesce(chunks, 0) = 0 AS parse_failed, coalesce(chunks, 0) AS chunks FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN n ON n.doc_id = d.doc_id::VARCHAR")
+def k13_chunks_per_document(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of each document: those that failed have none, the others some."""
+    blocks = D.flat(spark, d)
+    state = B.parse_state(D.documents(spark, d), blocks)
+    made = C.fixed(blocks).groupBy("doc_id").agg(F.count("*").alias("n")).withColumnRenamed("doc_id", "name")
+    return state.join(made, F.col("doc_id").cast("string") == F.col("name"), "left").select("doc_id", "parse_failed", F.coalesce("n", F.lit(0)).alias("chunks"))
+
+
 @query(f"""WITH {D.HTML}, b AS (SELECT doc_id, idx, text, sum((type = 'heading')::INT) OVER (PARTITION BY doc_id ORDER BY idx) AS sec FROM blocks WHERE type <> 'footer')
 SELECT doc_id || '::parent-doc::' || (row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1) AS chunk_id, string_agg(text, chr(10) || chr(10) ORDER BY idx) AS section FROM b GROUP BY doc_id, sec""")
 def k09_sections(spark: SparkSession, d: str) -> DataFrame:
@@ -498,11 +511,11 @@ def m10_run_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, *[c for c in out.columns if c not in (*M.RUN, "queries")])
 
 
-@query("""WITH t AS (SELECT conv_id, turn, text AS question, source AS base FROM (SELECT conv_id, turn, text, lower(left(text, 40)) AS source FROM conversations WHERE role = 'user')),
+@query("""WITH t AS (SELECT conv_id, turn, text AS question, source AS base FROM (SELECT conv_id, turn, text, lower(text) AS source FROM conversations WHERE role = 'user')),
 s AS (SELECT count(DISTINCT base) >= 0.9 * count(*) AS distinct_enough FROM t)
 SELECT conv_id, turn, CASE WHEN distinct_enough THEN 'base_question' ELSE 'question' END AS query_form, CASE WHEN distinct_enough THEN coalesce(nullif(base, ''), question) ELSE question END AS query FROM t, s""")
 def m11_query_form(spark: SparkSession, d: str) -> DataFrame:
-    turns = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"), F.lower(F.substring("text", 1, 40)).alias("base_question"))
+    turns = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"), F.lower("text").alias("base_question"))
     return M.query_form(turns).select("conv_id", "turn", "query_form", "query")
 
 

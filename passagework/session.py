@@ -31,8 +31,8 @@ def get_session(app: str = "passagework", cores: str = "*", **conf: str) -> Spar
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can read and write.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as
-    in tests, is a folder of this machine made and set.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and Spark runs
+    in this process, as in tests, is a folder of this machine made and set.
     """
     try:
         where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -40,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
         if "spark.checkpoint.dir" not in str(error):
             raise
         where = None
+    if not where and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not where:
         where = "file://" + tempfile.mkdtemp(prefix="passagework-")
         spark.conf.set("spark.checkpoint.dir", where)

@@ -3,6 +3,7 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -396,6 +397,13 @@ def test_client_batches(spark):
     assert [r.embedding[0] for r in out] == [4.0] * 8 + [2.0] * 2 and out[3].embedding[1] == 1
 
 
+def test_model_embedder(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["ab", "", None, "abc"])], "i int, t string").coalesce(1)
+    embed = S.model_embedder(lambda: lambda texts: np.array([[3.0 * len(t), 4.0 * len(t)] for t in texts]), batch=3)
+    got = [np.round(r[0], 6).tolist() for r in rows.orderBy("i").select(embed(F.col("t"))).collect()]
+    assert got == [[0.6, 0.8], [0, 0], [0, 0], [0.6, 0.8]] or np.allclose(got, [[0.6, 0.8], [0, 0], [0, 0], [0.6, 0.8]])
+
+
 def test_stream_takes_new_files_once(spark, tmp_path):
     src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
     for n in range(2):
