@@ -7,6 +7,7 @@ import re
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -669,18 +670,98 @@ def test_queries_equal_sql(spark):
         same(spark, con, entry.QUERIES, entry.ORACLES, name)
 
 
-def test_pipeline(spark):
+def closure(prints, most):
+    """The smallest key that each reaches by steps of at most ``most`` places."""
+    root = {d: d for d in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(prints), 2):
+        if (prints[a] ^ prints[b]).bit_count() <= most:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {d: find(d) for d in prints}
+
+
+def test_pipeline_equals_plain_versions(spark):
     docs = table(spark, SF, "documents")
-    kept = docs
+    stages = dict(corpus_pipeline.STAGES)
+    text_of = lambda df: {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
+    model = quality_mil.train(docs, table(spark, SF, "labels"))
+    good = stages["quality classifier"](spark, docs, SF).cache()
+    assert set(text_of(good)) == {d for d, t in text_of(docs).items() if quality_mil.judge(model, pa.array([t], pa.string()))[3][0]} and good.count() < docs.count()
+    clear = stages["language id"](spark, good, SF).cache()
+    network, want = langid.train(good), set()
+    for r in good.collect():
+        _, prob, blank = langid.judge(network, pa.array([r.text], pa.string()))
+        own = network.languages.index(r.lang) if r.lang in network.languages else -1
+        if not blank[0] and prob.max() >= 0.4 and (own < 0 or prob[0, own] >= 0.05):
+            want.add(r.doc_id)
+    assert set(text_of(clear)) == want
+    one = stages["near duplicates"](spark, clear, SF).cache()
+    prints = {r.doc_id: r.a & (1 << 64) - 1 | (r.b & (1 << 64) - 1) << 64 for r in simhash.fingerprint(clear).collect()}
+    kept, within, beyond = set(text_of(one)), closure(prints, simhash.RADIUS), closure(prints, simhash.ACCEPT)
+    gone = set(text_of(clear)) - kept
+    assert gone and all(within[d] == d for d in kept if d in prints)  # a smaller one within the radius would stand for it
+    assert all(any(k < d and beyond[k] == beyond[d] for k in kept) for d in gone)
+    cut = stages["suffix-array dedup"](spark, one, SF).cache()
+    texts = sorted(text_of(one).items())
+    spans, want = naive_repeats([(d, t or "") for d, t in texts], 50), {}
+    for d, t in texts:
+        at, left, pieces = [m.span() for m in re.finditer(r"[^ \t\n\f\r]+", t)], 0, []
+        for a, b in sorted((a, b) for x, a, b in spans if x == d):
+            pieces.append(t[left : at[a][0]])
+            left = at[b - 1][1]
+        done = "".join(pieces) + t[left:]
+        if done.strip() or not pieces:
+            want[d] = done
+    assert text_of(cut) == want and spans
+    enc, held = packing.encoder(packing.vocabulary()), {}
+    rows = stages["packing"](spark, cut, SF).collect()
+    for r in rows:
+        held.setdefault(r.doc_id, []).append((r.start_token, r.end_token))
+    sizes = {d: len(enc.encode_ordinary(t)) for d, t in want.items()}
+    assert {d: sorted(x)[-1][1] for d, x in held.items()} == sizes
+    assert all(sorted(x)[0][0] == 0 and all(a[1] == b[0] for a, b in itertools.pairwise(sorted(x))) for x in held.values())
+    limits = list((packing.LIMITS | {"loss_tokens": 4096}).values())
+    order = sorted(rows, key=lambda r: (r.doc_id, r.piece))
+    place = naive_place([(r.tokens, r.segments, r.loss_tokens) for r in order], limits)  # one group
+    assert [(r.pack_id, r.position) for r in order] == [place[i] for i in range(len(order))]
+    ran = corpus_pipeline.run(spark, SF)
+    assert {(r.doc_id, r.piece, r.end_token) for r in ran.collect()} == {(r.doc_id, r.piece, r.end_token) for r in rows}
+
+
+def test_stages_take_odd_rows(spark):
+    base = table(spark, SF, "documents")
+    plain = base.where("doc_id < 40 and text is not null and lang = 'en'").select("doc_id", "text", "lang", "source", "n_chars")
+    good = plain.limit(8).collect()
+    long = " ".join(f"{w}{i}" for i, w in enumerate((good[0].text + " ").split() * 400))
+    rows = [tuple(r) for r in good] + [tuple(good[1])] * 2 + [(None, good[2].text, None, None, None), (5000, None, "en", "s", 1), (5001, "", None, "s", 0), (5002, " \n", "xx", None, None), (5003, long, None, "s", None), (5004, good[3].text, None, "s", -1), (5005, "...", "en", "s", 3)]
+    extra = {c: F.lit(n) for n, c in enumerate(("tokens", "spans", "y", "group_id", "score", "keep", "language", "key", "salt", "n", "t", "node", "features"))}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns(extra)
+    got = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, kept, SF).cache()
-        assert after.columns == docs.columns, name
-        assert after.select("doc_id").exceptAll(kept.select("doc_id")).count() == 0
-        assert 0 < after.count() <= kept.count()
-        kept = after
-    out = corpus_pipeline.run(spark, SF)
-    assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.select("doc_id").collect()}
-    assert corpus_pipeline.STAGES[2][1](spark, docs.union(docs.limit(0)), SF).count() < docs.count()
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and stage(spark, docs.limit(0), SF).count() == 0, name
+        got[name] = out.select("doc_id", "text", "n_chars").collect()
+    count = lambda name, d: sum(r.doc_id == d for r in got[name])
+    twins = rows[1][0]
+    for name in ("quality classifier", "language id"):
+        assert [count(name, d) for d in (5000, 5001, 5002)] == [0, 0, 0] and count(name, twins) in (0, 3), name
+    assert count("language id", None) == 1
+    near = "near duplicates"
+    assert [count(near, d) for d in (None, 5000, 5001, 5002, 5003)] == [1] * 5 and count(near, 5004) == 0 and count(near, twins) == 3
+    cut = {r.doc_id: r for r in got["suffix-array dedup"]}
+    assert cut[None].text == rows[2][1] and cut[5000].text is None and cut[5001].text == "" and cut[5003].text == long and count("suffix-array dedup", twins) == 3
+    assert 5004 not in cut or len(cut[5004].text) < len(rows[3][1]) or len(rows[3][1].split()) < 50
+    packs = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert {r.doc_id for r in packs} == {r[0] for r in rows} - {None} and {r.tokens for r in packs if r.doc_id in (5000, 5001)} == {0}
+    enc = packing.encoder(packing.vocabulary())
+    assert sum(r.tokens for r in packs if r.doc_id == twins) == 3 * len(enc.encode_ordinary(rows[1][1]))
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0
 
 
 def test_every_operator_is_registered():
