@@ -171,9 +171,16 @@ STRATEGIES: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def fan_out(blocks: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Chunks of the same blocks under several strategies."""
-    return reduce(DataFrame.unionByName, (STRATEGIES[n](blocks) for n in names or STRATEGIES))
+def fan_out(blocks: DataFrame, strategies: list[str] | dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """Chunks of the same blocks under several strategies (K15, U01): by name, or plug-ins by the name they get.
+
+    The blocks are read once a strategy; settle them first if they are dear.
+    """
+    if isinstance(strategies, dict):
+        made = [f(blocks).withColumn("strategy", F.lit(name)) for name, f in strategies.items()]
+    else:
+        made = [STRATEGIES[n](blocks) for n in strategies or STRATEGIES]
+    return reduce(DataFrame.unionByName, made)
 
 
 def with_flags(chunks: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 import io
 import json
 import os
+import threading
 from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 from pathlib import Path
@@ -126,6 +127,7 @@ class SpendGuard:
         self.per_run = per_run if per_run is not None else float(os.environ.get("PASSAGEWORK_MAX_RUN_USD", 1))
         self.total = total if total is not None else float(os.environ.get("PASSAGEWORK_MAX_TOTAL_USD", 3))
         self.run_usd, self.run_tokens = 0.0, 0
+        self.lock = threading.Lock()
 
     def history(self) -> dict[str, Any]:
         if not self.ledger.exists():
@@ -142,7 +144,8 @@ class SpendGuard:
             raise BudgetError(f"with ${spent:.4f} spent before, ${usd:.4f} is more than is left of ${self.total:.2f}")
 
     def record(self, usd: float, n_tokens: int) -> None:
-        self.run_tokens, self.run_usd = self.run_tokens + n_tokens, self.run_usd + usd
+        with self.lock:  # calls may run in several threads
+            self.run_tokens, self.run_usd = self.run_tokens + n_tokens, self.run_usd + usd
         if self.run_usd > self.per_run:
             raise BudgetError(f"this run has cost ${self.run_usd:.4f} and ends here")
 

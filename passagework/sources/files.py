@@ -36,7 +36,8 @@ def decode(files: DataFrame, parser: Callable[[str, bytes], tuple[int, list[dict
     """Blocks of files by a parser plug-in (P01, O01): ``parser(path, content)`` gives page count and blocks.
 
     A file that can't be read gives one row with its reason (R02), one without text "no extractable
-    text" (R03). ``partitions`` spreads heavy parsers.
+    text" (R03). ``partitions`` spreads heavy parsers. ``source_path`` and ``idx`` give the order of the files
+    and within them; rows come in any.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -397,6 +397,14 @@ def test_client_batches(spark):
     assert [r.embedding[0] for r in out] == [4.0] * 8 + [2.0] * 2 and out[3].embedding[1] == 1
 
 
+def test_chunker_plug_ins(spark):
+    blocks = make_blocks(spark, ("heading", "Head", 1, 1), ("paragraph", "one two three four", 1, None))
+    out = C.fan_out(blocks, {"short": lambda b: C.fixed(b, 2, 0.0), "whole": C.contextual_heading})
+    assert sorted((r.strategy, r.raw_text) for r in out.collect()) == [("short", "Head\n\none"), ("short", "four"), ("short", "two three"), ("whole", "Head\n\none two three four")]
+    failed = make_blocks(spark, ("paragraph", "x", 1, None)).limit(0)
+    assert C.fan_out(failed).count() == 0
+
+
 def test_model_embedder(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(["ab", "", None, "abc"])], "i int, t string").coalesce(1)
     embed = S.model_embedder(lambda: lambda texts: np.array([[3.0 * len(t), 4.0 * len(t)] for t in texts]), batch=3)
