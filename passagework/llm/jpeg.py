@@ -139,8 +139,11 @@ def parse_header(data: bytes) -> Header:
 _RESTART = re.compile(rb"\xff+[\xd0-\xd7]")
 
 
-def decode_frames(frames: list[bytes]) -> list[list[np.ndarray] | str]:
-    """For each frame the planes of its components (uint8, at their own resolution), or what is wrong with it."""
+_HALF, _FULL = np.array([0, *(1 << n for n in range(15))]), np.array([(1 << n) - 1 for n in range(16)])
+
+
+def decode_frames(frames: list[bytes], planes: int = 4) -> list[list[np.ndarray] | str]:
+    """For each frame the first ``planes`` of its components (uint8, at their own resolution), or what is wrong with it."""
     out: list = [None] * len(frames)
     by_shape: dict[tuple, list[tuple[int, Header]]] = {}
     last, header = None, None
@@ -153,11 +156,11 @@ def decode_frames(frames: list[bytes]) -> list[list[np.ndarray] | str]:
         except (ValueError, KeyError, IndexError, struct.error) as error:
             out[i], last = f"{type(error).__name__}: {error}", None
     for group in by_shape.values():
-        _decode_group(frames, group, out)
+        _decode_group(frames, group, out, planes)
     return out
 
 
-def _decode_group(frames: list[bytes], group: list[tuple[int, Header]], out: list) -> None:
+def _decode_group(frames: list[bytes], group: list[tuple[int, Header]], out: list, planes: int) -> None:
     component, across, down, mh, mv = group[0][1].layout()
     per = len(component)
     mcus = across * down
@@ -182,8 +185,8 @@ def _decode_group(frames: list[bytes], group: list[tuple[int, Header]], out: lis
     lut = np.stack([lookup(t) for t in tables])
     sizes = np.array([len(p) for p in pieces], np.int64)
     at = np.cumsum(sizes + 8) - sizes - 8
-    flat = np.frombuffer(b"".join(p + b"\xff" * 8 for p in pieces), np.uint8).astype(np.uint32)
-    word = flat[:-3] << 24 | flat[1:-2] << 16 | flat[2:-1] << 8 | flat[3:]
+    flat = np.frombuffer(b"".join([*(p + b"\xff" * 8 for p in pieces), b"\xff" * 8]), np.uint8)
+    word = np.lib.stride_tricks.sliding_window_view(flat, 8).copy().view(">u8").ravel().astype(np.uint64)  # eight bytes from each place on
     coef = np.zeros((len(group) * total, 64), np.int16)
     bad = np.zeros(len(group), bool)
     reached = np.zeros(len(group), np.int64)
@@ -191,20 +194,21 @@ def _decode_group(frames: list[bytes], group: list[tuple[int, Header]], out: lis
     pos, limit = at * 8, (at + sizes) * 8
     own_tables = np.stack([np.array(dc), np.array(ac)], 1).reshape(len(pieces), 2 * counts)
     lane = np.arange(len(pieces))
-    done = np.zeros(len(pieces), np.int64)
+    same = own_tables[0] if len(own_tables) and (own_tables == own_tables[0]).all() else None
     k = np.zeros(len(pieces), np.int64)
     pred = np.zeros((len(pieces), counts), np.int64)
     while len(lane):
         comp = component[block % per] if per > 1 else np.zeros(len(lane), np.int64)
         is_dc = k == 0
-        v = lut[own_tables[lane, np.where(is_dc, comp, counts + comp)], (word[pos >> 3] >> (16 - (pos & 7)).astype(np.uint32)) & 0xFFFF]
+        which = comp + counts * ~is_dc
+        ahead = word[pos >> 3] << (pos & 7).astype(np.uint64)
+        v = lut[same[which] if same is not None else own_tables[lane, which], (ahead >> np.uint64(48)).astype(np.int64)].astype(np.int64)
         bits, symbol = v >> 8, v & 255
-        size = np.where(is_dc, np.minimum(symbol, 15), symbol & 15)
-        pos = pos + bits
-        raw = ((word[pos >> 3] >> (16 - (pos & 7)).astype(np.uint32)) & 0xFFFF).astype(np.int64) >> (16 - size)
-        value = np.where((size > 0) & (raw < (1 << np.maximum(size, 1) >> 1)), raw - (1 << size) + 1, raw)
-        pos = pos + size
-        run = np.where(is_dc, 0, symbol >> 4)
+        size = symbol & 15
+        raw = (ahead << bits.astype(np.uint64) >> np.uint64(1) >> (63 - size).astype(np.uint64)).astype(np.int64)
+        value = raw - (raw < _HALF[size]) * _FULL[size]
+        pos = pos + bits + size
+        run = (symbol >> 4) * ~is_dc
         end = ~is_dc & (size == 0) & (run < 15)
         place = k + run
         wrong = (bits == 0) | (pos > limit) | (~end & (place > 63))
@@ -213,7 +217,7 @@ def _decode_group(frames: list[bytes], group: list[tuple[int, Header]], out: lis
             d = np.flatnonzero(is_dc)
             pred[lane[d], comp[d]] += value[d]
             value[d] = pred[lane[d], comp[d]]
-        coef[block[write], place[write]] = value[write]
+        coef.ravel()[(block * 64 + place)[write]] = value[write]
         k = np.where(end, 64, place + 1)
         over = k > 63
         block = block + over
@@ -228,7 +232,7 @@ def _decode_group(frames: list[bytes], group: list[tuple[int, Header]], out: lis
     needed = np.array([-(-mcus // h.restart) if h.restart else 1 for _, h in group])
     bad |= reached < needed
     blocks = coef.reshape(len(group), mcus, per, 64)
-    for c in range(counts):
+    for c in range(min(counts, planes)):
         h, v = group[0][1].factors[c] if counts > 1 else (1, 1)
         quant = np.array([g[1].quant[c] for g in group], np.float32)
         pixels = np.empty((len(group), mcus, h * v, 64), np.float32)
@@ -258,13 +262,13 @@ def encode_frames(planes: list[np.ndarray], factors: tuple[tuple[int, int], ...]
     quant = np.clip((QUANT * scale + 50) // 100, 1, 255).astype(np.int64)[ZIGZAG]
     header = Header(width, height, factors, (), (), restart, 0)
     component, across, down, mh, mv = header.layout()
-    coef = np.zeros((n, across * down, len(component), 64), np.int64)
+    coef = np.zeros((n, across * down, len(component), 64), np.int16)
     for c, plane in enumerate(planes):
         h, v = factors[c] if len(factors) > 1 else (1, 1)
         rows, cols = down * v * 8, across * h * 8
         full = np.pad(plane, ((0, 0), (0, rows - plane.shape[1]), (0, cols - plane.shape[2])), mode="edge").astype(np.float32) - 128
         blocks = full.reshape(n, down, v, 8, across, h, 8).transpose(0, 1, 4, 2, 5, 3, 6).reshape(n, across * down, h * v, 64)
-        coef[:, :, component == c] = np.rint((blocks @ DCT.T)[..., ZIGZAG] / quant).astype(np.int64)
+        coef[:, :, component == c] = np.rint((blocks @ DCT.T)[..., ZIGZAG] / quant.astype(np.float32))
     per, interval = len(component), (restart or across * down) * len(component)
     coef = coef.reshape(n, -1, 64)
     total = coef.shape[1]
@@ -273,7 +277,7 @@ def encode_frames(planes: list[np.ndarray], factors: tuple[tuple[int, int], ...]
     part = np.arange(total) // interval
     for c in range(len(planes)):
         own = np.flatnonzero(comp == c)
-        d = coef[:, own, 0]
+        d = coef[:, own, 0].astype(np.int64)
         before = np.concatenate([np.zeros((n, 1), np.int64), d[:, :-1]], 1)
         before[:, np.r_[True, part[own][1:] != part[own][:-1]]] = 0
         diff[:, own] = d - before
@@ -289,10 +293,11 @@ def encode_frames(planes: list[np.ndarray], factors: tuple[tuple[int, int], ...]
     events = [(flat * 256, code[0, tab, size] << size | bits, length[0, tab, size] + size)]
     ac = coef.reshape(-1, 64).copy()
     ac[:, 0] = 0
-    blk, k = np.nonzero(ac)
+    spot = np.flatnonzero(ac)
+    blk, k = spot >> 6, spot & 63
     prev = np.where(np.r_[True, blk[1:] != blk[:-1]], 0, np.r_[0, k[:-1]]) if len(blk) else k
     run = k - prev - 1
-    size, bits = _numbers(ac[blk, k])
+    size, bits = _numbers(ac.ravel()[spot].astype(np.int64))
     symbol = (run % 16) << 4 | size
     events.append((blk * 256 + 3 * k + 2, code[1, tab[blk], symbol] << size | bits, length[1, tab[blk], symbol] + size))
     for z in range(3):  # runs of 16 zeros

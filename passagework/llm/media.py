@@ -169,7 +169,7 @@ def histograms(frames: list[bytes]) -> np.ndarray:
     """Shares of luma in ``BINS`` bins, a row a frame; nan where it can't be decoded or is empty."""
     out = np.full((len(frames), BINS), np.nan)
     full = [i for i, f in enumerate(frames) if f]
-    planes = decode_frames([frames[i] for i in full])
+    planes = decode_frames([frames[i] for i in full], planes=1)
     shapes: dict[tuple, list[int]] = {}
     for n, p in enumerate(planes):
         if not isinstance(p, str):
@@ -302,11 +302,15 @@ def films(texts: list[bytes]) -> list[bytes]:
         scene = np.concatenate([np.repeat(np.arange(len(x)), x) for x in lengths])
         inside = np.concatenate([np.arange(n) for x in lengths for n in x])
         look = np.array([zlib.crc32(texts[i]) for i in own], np.uint64)
-        cells = (mix64(look[:, None] * np.uint64(64) + np.arange(12, dtype=np.uint64)) % np.uint64(17)).astype(np.int64) - 8
+        cells = (mix64(look[:, None] * np.uint64(64) + np.arange(12, dtype=np.uint64)) % np.uint64(17)).astype(np.int16) - 8
         texture = np.repeat(np.repeat(cells.reshape(-1, 3, 4), height // 3, axis=1), width // 4, axis=2)
-        columns = (np.arange(width)[None, :] + 4 * frame[:, None]) % width
         level = LEVELS[(look[owner] % np.uint64(4)).astype(np.int64) + scene & 3] + inside
-        planes = [(texture[owner[:, None, None], np.arange(height)[None, :, None], columns[:, None, :]] + level[:, None, None]).astype(np.uint8)]
+        pixels = np.empty((len(frame), height, width), np.uint8)
+        for shift in range(0, width, 4):
+            own_frames = np.flatnonzero(4 * frame % width == shift)
+            moved = np.roll(texture, -shift, axis=2)
+            pixels[own_frames] = moved[owner[own_frames]] + level[own_frames, None, None].astype(np.int16)
+        planes = [pixels]
         if colour:
             tint = (look[owner] >> np.uint64(8) & np.uint64(63)).astype(np.uint8)
             planes += [np.broadcast_to(c[:, None, None], (len(frame), height // 2, width // 2)) for c in (96 + tint, 160 - tint)]
