@@ -22,9 +22,9 @@ through.
 from __future__ import annotations
 
 import base64
-import heapq
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -116,29 +116,30 @@ class Vocabulary:
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Ids of a pre-token by its merges: a heap over a linked list of bytes."""
-        ranks = self.ranks
+        get = self.ranks.get
         n = len(word)
-        end = list(range(1, n + 1))  # part i is word[i : end[i]]; the next part begins at end[i]
+        end = list(range(1, n + 1))  # part i is word[i : end[i]], and the next part begins there; 0: it was merged
         before = list(range(-1, n))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        alive = [True] * n
+        # an entry is one number: rank, place and end of the pair
+        heap = [r << 64 | i << 32 | i + 2 for i in range(n - 1) if (r := get(word[i : i + 2])) is not None]
+        heapify(heap)
         while heap:
-            _, i, stop = heapq.heappop(heap)
+            entry = heappop(heap)
+            i, stop = entry >> 32 & 0xFFFFFFFF, entry & 0xFFFFFFFF
             j = end[i]
-            if not alive[i] or j >= n or end[j] != stop or not alive[j]:
+            if not j or j >= n or end[j] != stop:
                 continue  # one of the two parts has been merged since
-            alive[j] = False
+            end[j] = 0
             end[i] = stop
             if stop < n:
                 before[stop] = i
-                if (r := ranks.get(word[i : end[stop]])) is not None:
-                    heapq.heappush(heap, (r, i, end[stop]))
-            if (h := before[i]) >= 0 and (r := ranks.get(word[h:stop])) is not None:
-                heapq.heappush(heap, (r, h, stop))
+                if (r := get(word[i : end[stop]])) is not None:
+                    heappush(heap, r << 64 | i << 32 | end[stop])
+            if (h := before[i]) >= 0 and (r := get(word[h:stop])) is not None:
+                heappush(heap, r << 64 | h << 32 | stop)
         out, i = [], 0
         while i < n:
-            out.append(ranks[word[i : end[i]]])
+            out.append(get(word[i : end[i]]))
             i = end[i]
         return tuple(out)
 
@@ -148,10 +149,10 @@ class Vocabulary:
             self.__dict__["_ranks"] = dict(zip(self.tokens, self.ids.tolist(), strict=True))
         return self.__dict__["_ranks"]
 
-    def resolve(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+    def resolve(self, words: Collection[str]) -> dict[str, tuple[int, ...]]:
         """Ids of each of some pre-tokens, which are distinct."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
+        if len(self.memo) > MEMO:  # what is common is among these words too, and stays
+            self.memo = {w: self.memo[w] for w in words if w in self.memo}
         memo = self.memo
         fresh = [w for w in words if w not in memo]
         if fresh:
@@ -183,17 +184,14 @@ def parts(text: str, size: int = PART) -> Iterator[str]:
 
 
 def encode_texts(vocabulary: Vocabulary, find, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
-    """Ids of texts and the n+1 offsets."""
+    """Ids of texts and the n+1 offsets; a pre-token is looked up once for all of them."""
+    held = [[find(part) for part in parts(text)] for text in texts]
+    known = vocabulary.resolve(set(chain.from_iterable(chain.from_iterable(held))))
     ids, sizes = [], []
-    for text in texts:
-        count = 0
-        for part in parts(text):
-            words = find(part)
-            known = vocabulary.resolve(list(dict.fromkeys(words)))
-            got = list(chain.from_iterable(map(known.__getitem__, words)))
-            ids.append(np.array(got, np.int32))
-            count += len(got)
-        sizes.append(count)
+    for pieces in held:
+        got = list(chain.from_iterable(map(known.__getitem__, chain.from_iterable(pieces))))
+        ids.append(np.array(got, np.int32))
+        sizes.append(len(got))
     return np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
