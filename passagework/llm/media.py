@@ -39,6 +39,7 @@ SPREAD = 5.0
 FLOOR = 0.2
 FRAMES = 4096
 PIXELS = 1 << 22  # decoded at once
+BYTES = 64 << 20  # of files held for a group
 _CENTRES = (np.arange(BINS) + 0.5) * 256 / BINS
 _SOFT = np.maximum(0, 1 - np.abs(np.clip(np.arange(256)[:, None], _CENTRES[0], _CENTRES[-1]) - _CENTRES[None, :]) * BINS / 256)
 _LISTS = (b"RIFF", b"LIST")
@@ -237,7 +238,7 @@ def clips(rows: DataFrame, key: str = "page_id", media: str = "media") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # key, seconds of a frame, frames, error
-        count = 0
+        count = size = 0
 
         def flush(kind: pa.DataType) -> pa.RecordBatch:
             out: list[tuple] = []
@@ -260,12 +261,12 @@ def clips(rows: DataFrame, key: str = "page_id", media: str = "media") -> DataFr
                 try:
                     seconds, places = parse_avi(blob)
                     held.append((k.as_py(), seconds, [blob[a:b] for a, b in places], None))
-                    count += len(places)
+                    count, size = count + len(places), size + len(blob)
                 except (ValueError, struct.error, IndexError) as error:
                     held.append((k.as_py(), 0.0, [], f"{type(error).__name__}: {error}"))
-                if count >= FRAMES:
+                if count >= FRAMES or size >= BYTES:
                     yield flush(target)
-                    held, count = [], 0
+                    held, count, size = [], 0, 0
         if held:
             yield flush(target)
 
