@@ -50,13 +50,15 @@ class Store:
         where, system = self._fs(self._path(stage, params))
         if not system.exists(where):
             return None
-        try:
-            return self.spark.read.option("ignoreCorruptFiles", "true").parquet(self._path(stage, params))
-        except Exception as error:
-            if "UNABLE_TO_INFER_SCHEMA" not in str(error) and "CANNOT_READ" not in str(error):
-                raise
-            self.remove_corrupt(stage, params)
-            return None
+        for _ in range(2):  # the second time without what was broken
+            try:
+                return self.spark.read.option("ignoreCorruptFiles", "true").parquet(self._path(stage, params))
+            except Exception as error:
+                if "UNABLE_TO_INFER_SCHEMA" not in str(error) and "CANNOT_READ" not in str(error):
+                    raise
+                if not self.remove_corrupt(stage, params):
+                    return None
+        return None
 
     def remove_corrupt(self, stage: str, params: str) -> int:
         """Delete the files of an entry that can't be read whole, and say how many; each is read by one task."""

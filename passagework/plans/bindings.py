@@ -103,7 +103,7 @@ _STORES: dict[tuple[str, str], str] = {}
 def index(spark: SparkSession, d: str) -> DataFrame:
     """The stored index of all strategies (S05 to S07): written by the first query of a session that needs it."""
     key = (spark.sparkContext.applicationId, d)
-    if key not in _STORES:
+    if key not in _STORES or not files.exists(spark, _STORES[key] + "/_SUCCESS"):
         path = fresh_path(spark, "index")
         files.write_index(all_strategies(spark, d).withColumn("corpus", F.lit("documents")), path)
         _STORES[key] = path

@@ -119,11 +119,14 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def write_index(chunks: DataFrame, path: str) -> bool:
     """Chunks with vectors, partitioned by corpus and strategy (S07); False where the store exists already."""
-    spark = chunks.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    if exists(chunks.sparkSession, path):
         return False
     chunks.write.partitionBy("corpus", "strategy").parquet(path)
     return True
