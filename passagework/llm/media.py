@@ -7,11 +7,14 @@ a walk through the lists where there is none. Frames are decoded in bounded grou
 those of many files together. A shot ends where the histogram of luma differs from the
 frame before by more than an adaptive bound: twice the median of the differences around
 plus ``SPREAD`` times their median deviation, and ``FLOOR`` at least. A pixel counts for
-the two bins next to it, so a slight change of light moves little. Each shot is a row.
+the two bins next to it, so a slight change of light moves little. As JPEG rounds the mean
+of a block, slowly changing light moves in steps, of a whole picture at once where it is
+flat; so the difference must pass the bound with the frame before made lighter or darker
+by up to such a step too. Each shot is a row.
 
 The plan is narrow: files are decoded where they are read, in groups of at most ``FRAMES``
 frames and ``PIXELS`` pixels (a larger frame is a group of its own), of which only the
-histograms stay. Cases: null media gives no row; what isn't an AVI file with a
+differences stay. Cases: null media gives no row; what isn't an AVI file with a
 video stream, or has no frame, gives one row without times and with its error. A frame of size zero repeats
 the one before; one that can't be decoded is counted in bad_frames and does the
 same. A file of one frame is one clip. Rows are treated one by one, so repeated rows
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework.llm.common import mix64
-from passagework.llm.jpeg import decode_frames, encode_frames
+from passagework.llm.jpeg import decode_frames, encode_frames, parse_header
 
 BINS = 32
 AROUND = 8
@@ -42,6 +45,8 @@ PIXELS = 1 << 22  # decoded at once
 BYTES = 64 << 20  # of files held for a group
 _CENTRES = (np.arange(BINS) + 0.5) * 256 / BINS
 _SOFT = np.maximum(0, 1 - np.abs(np.clip(np.arange(256)[:, None], _CENTRES[0], _CENTRES[-1]) - _CENTRES[None, :]) * BINS / 256)
+_STEP = 256 // BINS  # no step of light counts as larger than a bin
+_LIGHTER = {s: _SOFT[np.clip(np.arange(256) + s, 0, 255)] for s in range(-_STEP, _STEP + 1)}
 _LISTS = (b"RIFF", b"LIST")
 
 # ---- AVI
@@ -166,26 +171,61 @@ def groups(frames: list[bytes]) -> Iterator[tuple[int, int]]:
         yield begin, len(frames)
 
 
-def histograms(frames: list[bytes]) -> np.ndarray:
-    """Shares of luma in ``BINS`` bins, a row a frame; nan where it can't be decoded or is empty."""
-    out = np.full((len(frames), BINS), np.nan)
+def histograms(frames: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the levels of luma, a row a frame, and the levels in a step of its blocks' mean; -1 where it can't be decoded or is empty."""
+    out, step = np.zeros((len(frames), 256)), np.full(len(frames), -1)
     full = [i for i, f in enumerate(frames) if f]
     planes = decode_frames([frames[i] for i in full], planes=1)
     shapes: dict[tuple, list[int]] = {}
+    last, levels = None, 0
     for n, p in enumerate(planes):
         if not isinstance(p, str):
             shapes.setdefault(p[0].shape, []).append(n)
+            data = frames[full[n]]
+            if last is None or not data.startswith(last):
+                header = parse_header(data)
+                last, levels = data[: header.size], min(-(-header.quant[0][0] // 8), _STEP)
+            step[full[n]] = levels
     for own in shapes.values():
         luma = np.stack([planes[n][0] for n in own]).reshape(len(own), -1)
         for i in range(0, len(own), 256):
             part = luma[i : i + 256]
             counts = np.bincount((part + np.arange(len(part))[:, None] * 256).ravel(), minlength=len(part) * 256)
-            out[[full[n] for n in own[i : i + 256]]] = counts.reshape(len(part), 256) @ _SOFT / luma.shape[1]
-    return out
+            out[[full[n] for n in own[i : i + 256]]] = counts.reshape(len(part), 256) / luma.shape[1]
+    return out, step
+
 
+def differences(frames: list[bytes], owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How a frame differs from the last one before that its film has, the same past a step of light, and whether it is lost.
 
-def cuts(diff: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Where shots begin. ``diff[i]`` is frame i against the one before; ``owner`` is sorted, its first rows' diffs don't count."""
+    Both are 0 where either frame is missing. Up to ``FLOOR`` the second is the first, as neither is a cut then.
+    """
+    diff, past, lost = np.zeros(len(frames)), np.zeros(len(frames)), np.zeros(len(frames), bool)
+    kept = np.zeros((1, 256)), np.array([-1]), np.array([-1])  # the last frame known: its histogram, its step, its film
+    for a, b in groups(frames):
+        hist, step, film = (np.concatenate(x) for x in zip(kept, (*histograms(frames[a:b]), owner[a:b]), strict=True))
+        known = step >= 0
+        lost[a:b] = ~known[1:]
+        last = np.maximum.accumulate(np.where(known, np.arange(len(hist)), 0))
+        now = 1 + np.flatnonzero(known[1:])
+        now = now[film[last[now - 1]] == film[now]]
+        before = last[now - 1]
+        soft = hist @ _SOFT
+        plain = np.abs(soft[now] - soft[before]).sum(1) / 2
+        least, far = plain.copy(), np.flatnonzero(plain > FLOOR)
+        free = np.maximum(step[now[far]], step[before[far]])
+        for s in range(1, free.max(initial=0) + 1):
+            own = far[free >= s]
+            for lighter in (_LIGHTER[s], _LIGHTER[-s]):
+                least[own] = np.minimum(least[own], np.abs(soft[now[own]] - hist[before[own]] @ lighter).sum(1) / 2)
+        diff[a - 1 + now], past[a - 1 + now] = plain, least
+        at = last[-1]
+        kept = hist[at : at + 1].copy(), step[at : at + 1], film[at : at + 1]
+    return diff, past, lost
+
+
+def cuts(diff: np.ndarray, past: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Where shots begin. ``diff[i]`` is frame i against the one before, and sets the bound that ``past[i]`` must pass; ``owner`` is sorted, its first rows' diffs don't count."""
     n = len(diff)
     first = np.r_[True, owner[1:] != owner[:-1]] if n else np.zeros(0, bool)
     shift = np.r_[np.arange(-AROUND, 0), np.arange(1, AROUND + 1)]
@@ -203,24 +243,18 @@ def cuts(diff: np.ndarray, owner: np.ndarray) -> np.ndarray:
     middle = median(near)
     with np.errstate(invalid="ignore"):
         deviation = median(np.where(inside, np.abs(near - middle[:, None]), np.inf))
-    return first | (diff > np.maximum(FLOOR, 2 * middle + SPREAD * deviation))
+    return first | (past > np.maximum(FLOOR, 2 * middle + SPREAD * deviation))
 
 
 def find_clips(videos: list[list[bytes]]) -> list[tuple[list[int], list[int]]]:
     """For each video the first frames of its shots, and the undecodable frames of each shot."""
     sizes = np.array([len(v) for v in videos], np.int64)
     flat = [f for v in videos for f in v]
-    hist = np.concatenate([np.zeros((0, BINS)), *(histograms(flat[a:b]) for a, b in groups(flat))])
     owner = np.repeat(np.arange(len(videos)), sizes)
-    lost = np.isnan(hist[:, 0])
+    diff, past, lost = differences(flat, owner)
     broken = lost & np.array([bool(f) for f in flat], bool)
     head = np.cumsum(sizes) - sizes
-    last = np.maximum.accumulate(np.where(lost, -1, np.arange(len(flat)))) if len(flat) else np.zeros(0, np.int64)
-    known = last >= head[owner] if len(flat) else np.zeros(0, bool)
-    filled = np.where(known[:, None], hist[np.maximum(last, 0)], np.nan)
-    before = np.concatenate([filled[:1], filled[:-1]])
-    diff = np.nan_to_num(np.abs(filled - before).sum(1) / 2)
-    start = cuts(diff, owner)
+    start = cuts(diff, past, owner)
     out, shot = [], np.cumsum(start) - 1
     bad = np.bincount(shot, weights=broken, minlength=int(start.sum())).astype(int) if len(flat) else np.zeros(0, int)
     at = np.flatnonzero(start)

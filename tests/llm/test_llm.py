@@ -612,6 +612,25 @@ def test_films_vary_and_large_frames_are_decoded_in_small_groups(spark, monkeypa
     assert [starts for starts, _ in media.find_clips(parsed)] == want
 
 
+@pytest.mark.parametrize("text", [b"79019675", b"708341395", b"8572506773278"])
+def test_light_that_moves_in_steps_is_no_cut(text):
+    film = media.films([text])[0]
+    frames = [film[a:b] for a, b in media.parse_avi(film)[1]]
+    assert media.find_clips([frames])[0][0] == [0, *itertools.accumulate(media.scenes(len(text)))][:-1]
+
+
+@pytest.mark.parametrize("quality", [25, 50, 75])
+def test_steps_of_light_follow_the_quantiser(quality, monkeypatch):
+    levels = np.r_[[100] * 6, np.arange(100, 112), [112] * 6, [160] * 6, [160, 154, 148, 142]]  # light rises slowly once, then a cut, then a fade
+    coded = jpeg.encode_frames([np.broadcast_to(levels[:, None, None], (len(levels), 16, 16)).astype(np.uint8)], quality=quality)
+    assert media.find_clips([coded[:30]])[0][0] == [0, 24]
+    holes = [*coded[:3], b"", *coded[4:23], b"junk", b"", *coded[25:30]]  # the cut's own frame is missing: the next one is the first to differ
+    want = media.find_clips([holes, [b"", *coded[24:30]], holes])
+    assert want == [([0, 25], [1, 0]), ([0], [0]), ([0, 25], [1, 0])]
+    monkeypatch.setattr(media, "PIXELS", 256)
+    assert media.find_clips([holes, [b"", *coded[24:30]], holes]) == want
+
+
 # ---- 10 exact top-k
 
 
