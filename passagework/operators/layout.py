@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,31 +26,66 @@ def reading_order(fragments: DataFrame) -> DataFrame:
 def lines(fragments: DataFrame) -> DataFrame:
     """(doc_id, page, line, size, centre, text): fragments whose centres lie close to their line's first.
 
-    A page is folded in reading order, in one pass over its sorted fragments.
+    A page is folded in reading order, as its fragments come sorted from the shuffle; what a task holds is an Arrow
+    batch and the line that is open. Fragments of the size and centre of the one before are of its line, so only
+    where one of these changes is there a step of Python.
     """
-    order = F.sort_array(F.collect_list(F.struct((-F.col("top")).alias("down"), "left", "seq", "size", "bottom", "right", "text")))
-    pages = fragments.groupBy("doc_id", "page").agg(order.alias("f"))
+    here = Window.partitionBy("doc_id", "page").orderBy(-F.col("top"), "left", "seq", "size", "bottom", "right", "text")
+    centre = (F.col("bottom") + F.col("top")) / 2
+    rows = fragments.select("doc_id", "page", (F.row_number().over(here) == 1).alias("first"), F.col("size").cast("double"), centre.cast("double").alias("centre"), F.col("left").cast("double"), F.col("right").cast("double"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line: list = []  # doc_id, page, line, size, centre, right, texts of the line that is open
         for batch in batches:
+            count = batch.num_rows
+            if not count:
+                continue
+            first, size, mid, left, right = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(2, 7))
+            begins = first.copy()  # where a run of one size and centre begins
+            begins[0] = True
+            begins[1:] |= (size[1:] != size[:-1]) | (mid[1:] != mid[:-1])
+            at = np.flatnonzero(begins)
+            apart = np.zeros(count, bool)
+            apart[1:] = left[1:] - right[:-1] > size[1:] * SPACE
+            apart[at] = False
+            texts = pc.binary_join_element_wise(pa.array(np.where(apart, " ", ""), pa.string()), batch.column(7).cast(pa.string()), "")
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(at, count), pa.int32()), texts), "").to_pylist()
+            falls = np.zeros(count, bool)
+            falls[1:] = right[1:] < right[:-1]
+            falls[at] = False
+            uneven = np.logical_or.reduceat(falls, at).tolist()
+            docs, pages = (batch.column(c).take(pa.array(at)).to_pylist() for c in range(2))
             out: list[tuple] = []
-            for doc, page, items in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                held: list[list] = []  # size, centre, right, texts
-                for f in items:
-                    centre, size = (f["bottom"] - f["down"]) / 2, f["size"]
-                    if held and abs(centre - held[-1][1]) <= max(size, held[-1][0]) * LINE:
-                        line = held[-1]
-                        line[3] += [" ", f["text"]] if f["left"] - line[2] > size * SPACE else [f["text"]]
-                        line[0], line[2] = max(size, line[0]), max(f["right"], line[2])
-                    else:
-                        held.append([size, centre, f["right"], [f["text"]]])
-                out += [(doc, page, i, size, centre, "".join(texts)) for i, (size, centre, _, texts) in enumerate(held)]
-            columns = list(zip(*out, strict=True)) if out else [()] * 6
-            types = [batch.schema.field(0).type, batch.schema.field(1).type, pa.int32(), pa.float64(), pa.float64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "page", "line", "size", "centre", "text"])
+            for i, (a, b) in enumerate(zip(at.tolist(), [*at[1:].tolist(), count], strict=True)):
+                height, centre = float(size[a]), float(mid[a])
+                fresh = bool(first[a]) or not line
+                if not fresh and abs(centre - line[4]) <= max(height, line[3]) * LINE:
+                    begin = a
+                else:
+                    if line:
+                        out.append((*line[:5], "".join(line[6])))
+                    line = [docs[i], pages[i], 0 if fresh else line[2] + 1, height, centre, float(right[a]), []]
+                    if not uneven[i]:
+                        line[5:] = float(right[b - 1]), [joined[i]]
+                        continue
+                    line[6].append(batch.column(7)[a].as_py())
+                    begin = a + 1
+                for j, text in enumerate(batch.column(7).slice(begin, b - begin).to_pylist(), begin):
+                    line[6] += [" ", text] if left[j] - line[5] > height * SPACE else [text]
+                    line[5] = max(float(right[j]), line[5])
+                line[3] = max(height, line[3])
+            yield _line_batch(out, batch.schema)
+        if line:
+            yield _line_batch([(*line[:5], "".join(line[6]))], batch.schema)
 
     kinds = {n: fragments.schema[n].dataType.simpleString() for n in ("doc_id", "page")}
-    return pages.mapInArrow(run, f"doc_id {kinds['doc_id']}, page {kinds['page']}, line int, size double, centre double, text string")
+    return rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, page {kinds['page']}, line int, size double, centre double, text string")
+
+
+def _line_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    types = [schema.field(0).type, schema.field(1).type, pa.int32(), pa.float64(), pa.float64(), pa.string()]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "page", "line", "size", "centre", "text"])
 
 
 def paragraphs(line_rows: DataFrame) -> DataFrame:
