@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.functions import text as T
@@ -43,8 +43,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def to_six(x: Column) -> Column:
+    """Six digits; what rounds to zero keeps its sign, as in SQL."""
+    return F.signum(x) * F.abs(F.round(x, 6))
+
+
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+    return df.withColumns({c: to_six(F.col(c)) for c in columns})
 
 
 # ---- sources and sinks
@@ -406,7 +411,7 @@ def e06_query_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT vec_id, list_transform(list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))), lambda x: round(x, 6)) AS unit FROM embeddings")
 def v01_normalise(spark: SparkSession, d: str) -> DataFrame:
-    return D.vectors(spark, d).select("vec_id", F.transform(V.normalise(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
+    return D.vectors(spark, d).select("vec_id", F.transform(V.normalise(F.col("embedding")), to_six).alias("unit"))
 
 
 @query(f"WITH RECURSIVE {D.HITS} SELECT strategy, qid, chunk_id, rank, round(score, 6) AS score FROM deep WHERE rank < 10")
