@@ -1,9 +1,16 @@
 """What a task holds doesn't grow with the table; and results that only large tables bring up."""
 
 import random
+import tracemalloc
 from contextlib import contextmanager
 
+import duckdb
+import numpy as np
+from pyspark.sql import functions as F
+
 from passagework.operators import layout as L
+from passagework.operators import search as S
+from passagework.plans import registry
 
 
 @contextmanager
@@ -48,3 +55,42 @@ def test_lines_hold_no_page(spark):
         with conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch=batch):
             got = sorted(map(tuple, L.lines(found).collect()))
         assert got == sorted(("d", p, *r) for p in rows for r in plain_lines(rows[p]))
+
+
+def test_search_holds_few_scores(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    many, vectors = rng.normal(size=(20_000, 16)), rng.normal(size=(4_000, 16))
+    tracemalloc.start()
+    best = S._Best(many, 5)
+    for a in range(0, len(vectors), 2_000):
+        best.add(np.arange(a, a + 2_000).astype(object), vectors[a : a + 2_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6  # all scores of a block at once were 320 MB, three times over
+    score = (many[:50] @ vectors.T) / np.sqrt((many[:50] ** 2).sum(1)[:, None] * (vectors**2).sum(1))
+    got = {(i, n) for rows, names, _ in best.found() for i, n in zip(rows, names, strict=True) if i < 50}
+    assert got == {(i, n) for i in range(50) for n in np.argsort(-score[i])[:5]}
+
+
+def test_copies_of_vectors_tie(spark, tmp_path):
+    """Copies under shifted keys, in blocks of any size, are in the order of their keys, as in SQL."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(60, 19)).astype(np.float32).tolist()
+    rows = [(i + 1000 * c, v) for c in range(7) for i, v in enumerate(base)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted((q, v, r) for q, v, r, _ in con.execute("SELECT qid, vec_id, rank, score FROM (" + registry.ORACLES["v03_topk_embeddings"] + ")").fetchall())
+    with conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch="37"):
+        v = spark.read.parquet(str(tmp_path / "embeddings.parquet"))
+        for most in (S.QUERY_BYTES, 0):
+            found = S.topk(v.select(F.col("vec_id").alias("chunk_id"), "embedding"), v.select(F.col("vec_id").alias("qid"), "embedding"), by=(), most_bytes=most)
+            assert sorted((r.qid, r.chunk_id, r["rank"]) for r in found.collect()) == want
+
+
+def test_rounding_keeps_the_sign_of_zero(spark, tmp_path):
+    spark.createDataFrame([(1, [1.0, -1e-7, 1e-7, 0.0])], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = registry.QUERIES["v01_normalise"](spark, str(tmp_path)).first().unit
+    assert repr(got) == repr(con.execute(registry.ORACLES["v01_normalise"]).fetchall()[0][1]) == "[1.0, -0.0, 0.0, 0.0]"
