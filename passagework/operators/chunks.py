@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework.functions import text as T
@@ -20,7 +21,8 @@ SCHEMA = (
     "doc_id string, chunk_id string, ord bigint, raw_text string, embed_text string, return_text string, page_start int, page_end int, "
     "heading_path array<string>, strategy string, degraded boolean, degraded_reason string"
 )
-_TOKEN = re.compile(T.TOKEN)
+PART_CHARS, PART_ROWS = 4 << 20, 10_000
+_TOKEN, _SPACE = re.compile(T.TOKEN), " \t\n\f\r"
 
 
 def fixed(blocks: DataFrame, chunk_tokens: int = CHUNK, overlap_ratio: float = OVERLAP, name: str | None = None, tokenizer: Tokenizer | None = None) -> DataFrame:
@@ -85,63 +87,117 @@ def sections(items: list[Item]) -> list[list[Item]]:
     return out
 
 
-def bounded(section: str, child: str, limit: int, margin_of_child: bool = True) -> str:
-    """The section, or the window of it about the child where it is too long.
+class Section:
+    """A section's text, whose tokens are found once for all its children."""
 
-    Without ``margin_of_child`` the window is centred on the child's begin (N01).
-    """
-    toks = _TOKEN.findall(section)
-    if len(toks) <= limit:
-        return section
-    at = section.find(child)
-    start = 0
-    if at >= 0:
-        before = len(_TOKEN.findall(section[:at]))
-        margin = (limit - len(_TOKEN.findall(child))) // 2 if margin_of_child else limit // 2
-        start = max(0, before - max(0, margin))
-    return "".join(toks[start : start + limit]).strip()
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.ends = [m.end() for m in _TOKEN.finditer(text)]
+
+    def before(self, at: int) -> int:
+        """Tokens of ``text[:at]``: those that end there, and one more where its word has begun."""
+        n = bisect_right(self.ends, at)
+        begin = self.ends[n - 1] if n else 0
+        return n + bool(self.text[begin:at].strip(_SPACE))
+
+    def bounded(self, child: str, limit: int, margin_of_child: bool = True, child_tokens: int | None = None) -> str:
+        """The section, or the window of it about the child where it is too long.
+
+        Without ``margin_of_child`` the window is centred on the child's begin (N01).
+        """
+        if len(self.ends) <= limit:
+            return self.text
+        at = self.text.find(child)
+        start = 0
+        if at >= 0:
+            size = len(_TOKEN.findall(child)) if child_tokens is None and margin_of_child else child_tokens
+            margin = (limit - size) // 2 if margin_of_child else limit // 2
+            start = max(0, self.before(at) - max(0, margin))
+        begin = self.ends[start - 1] if start else 0
+        return self.text[begin : self.ends[min(start + limit, len(self.ends)) - 1]].strip() if start < len(self.ends) else ""
+
+
+def bounded(section: str, child: str, limit: int, margin_of_child: bool = True) -> str:
+    """``Section.bounded`` for one child."""
+    return Section(section).bounded(child, limit, margin_of_child)
 
 
 def _paths(blocks: list[dict]) -> Callable[[int], list[str]]:
+    """The path before a place; places are asked for in order."""
     heads = [(i, (b["level"], b["text"])) for i, b in enumerate(blocks) if b["type"] == "heading"]
-    return lambda at: path_before([h for i, h in heads if i < at])
+    if any(level is None for _, (level, _) in heads):
+        return lambda at: path_before([h for i, h in heads if i < at])
+    open_, done = [], 0
+
+    def path_at(at: int) -> list[str]:
+        nonlocal done
+        while done < len(heads) and heads[done][0] < at:
+            level, text = heads[done][1]
+            while open_ and (open_[-1][0] >= level or level <= 1):
+                open_.pop()
+            open_.append((level, text))
+            done += 1
+        return [text for _, text in open_]
+
+    return path_at
+
 
+def _structural(blocks: DataFrame, strategy: str, make: Callable[[str, list[dict]], Iterator[tuple | None]]) -> DataFrame:
+    """One pass over each document's blocks in order; ``make`` gives (raw, embed, return, path, pages) of its chunks, or None.
 
-def _structural(blocks: DataFrame, strategy: str, make: Callable[[str, list[dict]], list[tuple]]) -> DataFrame:
-    """One pass over each document's blocks in order; ``make`` gives (raw, embed, return, path, pages) of its chunks, or None."""
-    order = F.sort_array(F.collect_list(F.struct("idx", "type", "text", "page", "level")))
-    docs = blocks.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(order.alias("b"))
+    Blocks come sorted by document from the shuffle, so a task holds an Arrow batch, one document, and chunks of up to
+    ``PART_CHARS`` characters or ``PART_ROWS`` rows.
+    """
+    doc = F.col("doc_id").cast("string")
+    order = Window.partitionBy(doc).orderBy("idx", "type", "text", "page", "level")
+    ordered = blocks.select(doc.alias("doc_id"), (F.row_number().over(order) == 1).alias("first"), "type", "text", "page", "level")
     names = [part.split()[0] for part in SCHEMA.split(", ")]
     types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.bool_(), pa.string()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[dict]]]:
+        doc, held = None, []
         for batch in batches:
-            rows = []
-            for doc, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                flat = not any(b["type"] == "heading" for b in held)
-                for n, found in enumerate(make(doc, held)):
-                    if found is None:
-                        continue
-                    raw, embed, back, path, pages = found
-                    pages = [p for p in pages if p is not None]
-                    rows.append((doc, f"{doc}::{strategy}::{n}", n, raw, embed or raw, back or raw, min(pages, default=None), max(pages, default=None), path, strategy, flat, NO_STRUCTURE if flat else ""))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+            for name, first, kind, text, page, level in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if first and held:
+                    yield doc, held
+                    held = []
+                doc = name
+                held.append({"type": kind, "text": text, "page": page, "level": level})
+        if held:
+            yield doc, held
 
-    return docs.mapInArrow(run, SCHEMA)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def part() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+        rows, chars = [], 0
+        for doc, held in documents(batches):
+            flat = not any(b["type"] == "heading" for b in held)
+            for n, found in enumerate(make(doc, held)):
+                if found is None:
+                    continue
+                raw, embed, back, path, pages = found
+                pages = [p for p in pages if p is not None]
+                rows.append((doc, f"{doc}::{strategy}::{n}", n, raw, embed or raw, back or raw, min(pages, default=None), max(pages, default=None), path, strategy, flat, NO_STRUCTURE if flat else ""))
+                chars += len(raw) + len(embed) + len(back)
+                if chars > PART_CHARS or len(rows) >= PART_ROWS:
+                    yield part()
+                    rows, chars = [], 0
+        if rows:
+            yield part()
+
+    return ordered.mapInArrow(run, SCHEMA)
 
 
 def contextual_heading(blocks: DataFrame, chunk_tokens: int = CHUNK) -> DataFrame:
     """Runs of blocks, searched with their heading path before them."""
 
-    def make(doc: str, held: list[dict]) -> list[tuple | None]:
+    def make(doc: str, held: list[dict]) -> Iterator[tuple | None]:
         path_at = _paths(held)
-        out = []
         for run in packed([(i, b) for i, b in enumerate(held) if b["type"] != "footer"], chunk_tokens):
             body = "\n\n".join(p[1] for p in run).strip()
             path = path_at(run[0][0])
-            out.append((body, "\n\n".join([" > ".join(path), body] if path else [body]), body, path, [p[2] for p in run]) if body else None)
-        return out
+            yield (body, "\n\n".join([" > ".join(path), body] if path else [body]), body, path, [p[2] for p in run]) if body else None
 
     return _structural(blocks, "contextual-heading", make)
 
@@ -149,16 +205,14 @@ def contextual_heading(blocks: DataFrame, chunk_tokens: int = CHUNK) -> DataFram
 def parent_doc(blocks: DataFrame, child_tokens: int = CHILD, parent_tokens: int = PARENT) -> DataFrame:
     """Small runs within sections; what is returned is the section about them."""
 
-    def make(doc: str, held: list[dict]) -> list[tuple | None]:
+    def make(doc: str, held: list[dict]) -> Iterator[tuple | None]:
         path_at = _paths(held)
-        out = []
         for section in sections([(i, b) for i, b in enumerate(held) if b["type"] != "footer"]):
-            whole = "\n\n".join(b["text"] for _, b in section).strip()
-            path, pages = path_at(section[0][0]), [b["page"] for _, b in section]
-            for run in packed(section, child_tokens) if whole else ():
+            whole = Section("\n\n".join(b["text"] for _, b in section).strip())
+            path, pages = path_at(section[0][0]), {b["page"] for _, b in section}
+            for run in packed(section, child_tokens) if whole.text else ():
                 if body := "\n\n".join(p[1] for p in run).strip():
-                    out.append((body, body, bounded(whole, body, parent_tokens), path, pages))
-        return out
+                    yield body, body, whole.bounded(body, parent_tokens), path, pages
 
     return _structural(blocks, "parent-doc", make)
 
