@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from passagework.functions import text as T
 
+PART = 256
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -52,6 +53,13 @@ def _encoding(data: bytes, pattern: str):  # noqa: ANN202 - a tiktoken.Encoding
     return tiktoken.Encoding("passagework", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def _parts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Texts in parts of up to ``PART`` of them, so that results don't pile up."""
+    for batch in batches:
+        for a in range(0, len(batch), PART):
+            yield batch.iloc[a : a + PART]
+
+
 @dataclass
 class BytePairs:
     """Byte-level BPE by a vocabulary file of lines ``base64 rank``, read by the driver and sent to the tasks."""
@@ -70,7 +78,7 @@ class BytePairs:
         @F.pandas_udf("long")
         def size(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             encode = _encoding(sent.value, pattern).encode_ordinary
-            for batch in batches:
+            for batch in _parts(batches):
                 yield pd.Series([len(encode(x)) if x else 0 for x in batch], dtype="int64")
 
         return size(text)
@@ -81,7 +89,7 @@ class BytePairs:
         @F.pandas_udf("array<string>")
         def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             enc = _encoding(sent.value, pattern)
-            for batch in batches:
+            for batch in _parts(batches):
                 out = []
                 for x in batch:
                     ids = enc.encode_ordinary(x) if x else []
