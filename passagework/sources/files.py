@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as St
@@ -60,6 +62,8 @@ def decode(files: DataFrame, parser: Callable[[str, bytes], tuple[int, list[dict
     return files.select("path", "content").mapInPandas(run, BLOCKS)
 
 
+FRAGMENT_ROWS = 10_000
+_RUNS = re.compile("[ \t]{2,}|\t")
 FRAGMENTS = "doc_id string, source_path string, page_count int, page int, seq int, size double, left double, bottom double, right double, top double, text string, failure_reason string"
 
 
@@ -69,25 +73,50 @@ def decode_fragments(files: DataFrame, parser: Callable[[str, bytes], tuple[int,
     ``parser(path, content)`` gives the page count and, in any order, fragments with page, size, scale (of the
     matrix; 1 where there is none), left, bottom, right, top and text. The size is that on the page, to a tenth.
     Fragments without text are left out; a file that can't be read, or has none, gives a row with its reason.
+    A task holds one file's fragments, and gives up to ``FRAGMENT_ROWS`` at once.
     """
-    columns = [part.split()[0] for part in FRAGMENTS.split(", ")]
+    names = [part.split()[0] for part in FRAGMENTS.split(", ")]
+    types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), *[pa.float64()] * 5, pa.string(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes: dict[tuple, float] = {}
+
+        def sized(f: dict[str, Any]) -> float:
+            key = f["size"], f.get("scale", 1.0)
+            if key not in sizes:
+                if len(sizes) > 10_000:
+                    sizes.clear()
+                sizes[key] = round(key[0] * abs(key[1]), 1)
+            return sizes[key]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            for i in range(batch.num_rows):
+                path = batch.column(0)[i].as_py()
                 name = path.rpartition("/")[2].rpartition(".")[0]
                 try:
-                    count, found = parser(path, bytes(content))
-                    held = [(name, path, count, f["page"], i, round(f["size"] * abs(f.get("scale", 1.0)), 1), f["left"], f["bottom"], f["right"], f["top"], f["text"], None) for i, f in enumerate(found) if f["text"] and f["text"].strip()]
-                    reason = None if held else "no extractable text"
+                    count, found = parser(path, batch.column(1)[i].as_py())
+                    kept = [(n, f) for n, f in enumerate(found) if f["text"] and f["text"].strip()]
+                    columns = [[f["page"] for _, f in kept], [n for n, _ in kept], [sized(f) for _, f in kept], *([f[c] for _, f in kept] for c in ("left", "bottom", "right", "top")), [_clean(f["text"]) for _, f in kept]]
+                    made = [pa.array([count] * len(kept), types[2]), *(pa.array(c, t) for c, t in zip(columns, types[3:-1], strict=True))]
+                    reason = None if kept else "no extractable text"
                 except Exception as error:  # noqa: BLE001 - any failure of a decoder is a row
-                    count, held, reason = 0, [], f"{type(error).__name__}: {error}"
-                rows += held or [(name, path, count, *[None] * 8, reason)]
-            yield pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in ("page", "seq")})
+                    count, kept, reason = 0, [], f"{type(error).__name__}: {error}"
+                if reason:
+                    made = [pa.array([count], types[2]), *(pa.nulls(1, t) for t in types[3:-1])]
+                rows = len(made[0])
+                whole = pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(name, types[0]), rows), pa.repeat(pa.scalar(path, types[1]), rows), *made, pa.repeat(pa.scalar(reason, types[-1]), rows)], names)
+                for at in range(0, rows, FRAGMENT_ROWS):
+                    yield whole.slice(at, FRAGMENT_ROWS)
 
     files = files.repartition(partitions) if partitions else files
-    return files.select("path", "content").mapInPandas(run, FRAGMENTS).withColumn("text", T.clean(F.col("text")))
+    return files.select("path", "content").mapInArrow(run, FRAGMENTS)
+
+
+def _clean(text: str) -> str:
+    """``functions.text.clean`` in Python; most words have nothing to clean."""
+    if text.isprintable() and " " not in text:
+        return text
+    return _RUNS.sub(" ", text.replace("\u00a0", " ")).strip(T.SPACES)
 
 
 def results_path(folder: str, corpus: str, reranked: bool = False) -> str:
