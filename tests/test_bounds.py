@@ -1,16 +1,24 @@
 """What a task holds doesn't grow with the table; and results that only large tables bring up."""
 
 import random
+import re
 import tracemalloc
 from contextlib import contextmanager
 
 import duckdb
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from passagework.functions import text as T
+from passagework.functions.tokenizers import _parts
+from passagework.operators import blocks as B
+from passagework.operators import chunks as C
 from passagework.operators import layout as L
 from passagework.operators import search as S
 from passagework.plans import registry
+from passagework.sources import files
 
 
 @contextmanager
@@ -94,3 +102,77 @@ def test_rounding_keeps_the_sign_of_zero(spark, tmp_path):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     got = registry.QUERIES["v01_normalise"](spark, str(tmp_path)).first().unit
     assert repr(got) == repr(con.execute(registry.ORACLES["v01_normalise"]).fetchall()[0][1]) == "[1.0, -0.0, 0.0, 0.0]"
+
+
+def test_structural_chunks_hold_no_table(spark):
+    """Documents come block by block, over batches of any size; their chunks are those of one document at a time."""
+    rng, rows = random.Random(5), []
+    for doc in range(9):
+        for i in range(40):
+            kind = rng.choice(["heading", "paragraph", "paragraph", "footer"])
+            rows.append((doc, i, kind, " ".join(f"{doc}w{rng.randrange(9)}" for _ in range(rng.choice([1, 4, 30]))), i // 7, rng.randrange(1, 4) if kind == "heading" else None))
+    schema = "doc_id long, idx int, type string, text string, page int, level int"
+    for make in (lambda b: C.contextual_heading(b, 16), lambda b: C.parent_doc(b, 8, 24)):
+        blocks = spark.createDataFrame(rows, schema).repartition(5)
+        assert "collect_list" not in plan(make(blocks))
+        with conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch="7"):
+            got = sorted(map(str, make(blocks).collect()))
+        alone = [str(r) for doc in (0, 4, 8) for r in make(spark.createDataFrame([x for x in rows if x[0] == doc], schema)).collect()]
+        assert sorted(x for x in got if x.startswith(("Row(doc_id='0'", "Row(doc_id='4'", "Row(doc_id='8'"))) == sorted(alone)
+        paths = {r.idx: r.heading_path for r in B.heading_paths(spark.createDataFrame([x for x in rows if x[0] == 4], schema)).collect()}
+        assert all(C._paths([dict(zip(("type", "text", "page", "level"), x[2:], strict=True)) for x in rows if x[0] == 4])(i) == paths[i] for i in paths)
+
+
+def test_a_section_is_read_once(monkeypatch):
+    """The windows of a long section's children need its tokens once."""
+    words = [f"w{i}" for i in range(3000)]
+    whole, found = C.Section("  ".join(words)), []
+    monkeypatch.setattr(C, "_TOKEN", type("Counted", (), {"findall": lambda self, x: found.append(len(x)) or re.findall(T.TOKEN, x)})())
+    for a in range(0, 3000, 30):
+        child = "  ".join(words[a : a + 30])
+        begin = max(0, a - 35)
+        assert whole.bounded(child, 100) == "  ".join(words[begin : begin + 100])
+    assert sum(found) < 2 * len(whole.text)
+
+
+def test_hits_bring_their_texts_without_a_shuffle_of_the_index(spark):
+    hits = spark.createDataFrame([("s", "c1", 1, 0)], "strategy string, chunk_id string, qid int, rank int")
+    chunks = spark.createDataFrame([("s", "c1", "text"), ("s", "c2", "other")], "strategy string, chunk_id string, return_text string")
+    with conf(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        out = S.with_chunks(hits, chunks)
+        assert [r.return_text for r in out.collect()] == ["text"]
+        assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_embedder_takes_texts_not_words(spark):
+    """Words go over as one text, and are counted as before; blank and null texts have zero vectors."""
+    texts = ["One two, TWO-\nfold", "", None, "  ", "x_1 İstanbul"] * 300
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").coalesce(1)
+    made = rows.select("i", T.words(F.col("t")).alias("w"), S.hash_embedder(8)(F.col("t")).alias("v"))
+    assert "filter(" not in plan(rows.select(S.hash_embedder(8)(F.col("t"))))
+    for r in made.collect():
+        want = [0.0] * 8
+        for w in r.w or ():
+            want[S._dimension(w, 8)] += 1
+        assert r.v == want
+
+
+def test_fragments_go_out_in_parts(spark):
+    """A file of many fragments isn't one batch; texts are cleaned as elsewhere, and a value that doesn't fit fails its file alone."""
+
+    def parse(path, content):
+        texts = ["a", "b  c", " d\t\te ", " \t", "f​g"] * (5_000 if "long" in path else 1)
+        return 3, [{"page": "one" if "odd" in path else 1, "size": 2.04, "scale": -5.0, "left": 0.0, "bottom": 0.0, "right": 1.0, "top": 1.0, "text": t} for t in texts]
+
+    found = spark.createDataFrame([("/f/long.pdf", b""), ("/f/odd.pdf", b""), ("/f/short.pdf", b"")], "path string, content binary").coalesce(1)
+    out = files.decode_fragments(found, parse)
+    sizes = out.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n bigint")
+    assert max(r.n for r in sizes.collect()) <= files.FRAGMENT_ROWS and "Arrow" in plan(out)
+    assert out.where("doc_id = 'long'").count() == 20_000
+    assert [(r.seq, r.size, r.text) for r in out.where("doc_id = 'short'").orderBy("seq").collect()] == [(0, 10.2, "a"), (1, 10.2, "b c"), (2, 10.2, "d e"), (4, 10.2, "f​g")]
+    assert out.where("failure_reason is not null").first().doc_id == "odd"
+
+
+def test_tokenizer_gives_results_in_parts(spark):
+    seen = [len(x) for x in _parts(iter([pd.Series(["a"] * 1000), pd.Series([], dtype="object")]))]
+    assert max(seen) <= 256 and sum(seen) == 1000
